@@ -81,7 +81,7 @@ def _contract(keep_chains: bool):
             cur[active] = parent[cur[active]]
 
         size = 20_000
-        top_ids, exit_ids = ids.take(pa.array(top)), t["parent"].combine_chunks().take(pa.array(top))
+        top_ids, exit_ids = ids.take(pa.array(top)), t["parent"].combine_chunks().take(pa.array(top, mask=~exits))
         trees, order = t["tree"].combine_chunks(), t["ord"].combine_chunks()
         for a in range(0, n, size):
             b = min(n, a + size)
@@ -93,7 +93,7 @@ def _contract(keep_chains: bool):
                 [
                     trees.slice(a, b - a), ids.slice(a, b - a), order.slice(a, b - a), pa.array(ends[a:b], pa.string()),
                     top_ids.slice(a, b - a),
-                    pc.if_else(pa.array(exits[a:b]), exit_ids.slice(a, b - a), pa.scalar(None, pa.string())),
+                    exit_ids.slice(a, b - a),
                     pa.array(hops[a:b]), pa.array(circle[a:b]), chain,
                 ],
                 names=["tree", "node", "ord", "end_state", "top", "exit_to", "hops", "circle", "chain"],
