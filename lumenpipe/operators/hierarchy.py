@@ -145,8 +145,8 @@ def _solve(nodes: DataFrame, keep_chains: bool, partitions: int | None) -> tuple
     solved = answer.join(own, ["tree", "node"]).join(whole, ["tree", "node"], "left")
     solved = solved.select(
         "tree", "node", "end_state", "circle", "own_chain", F.col("whole").alias("chain"),
-        F.coalesce(F.element_at("whole", 1), F.col("root")).alias("root"),
-        (F.size("whole") - 1).cast("bigint").alias("depth"),
+        F.coalesce(F.try_element_at("whole", F.lit(1)), F.col("root")).alias("root"),
+        F.when(F.size("whole") > 0, F.size("whole") - 1).cast("bigint").alias("depth"),
     )
     return local, materialize(solved)
 
@@ -209,6 +209,9 @@ def span_nodes(spans: DataFrame) -> DataFrame:
 def resolve(nodes: DataFrame, chains: bool = True) -> DataFrame:
     """Solve (tree, node, parent, ord, weight, end_state) rows, unique by (tree, node).
 
+    Without ``chains`` only ``circle`` is to be used: chains, and what is derived from them, are then kept
+    for the nodes whose chain leaves its fragment.
+
     Returns tree, node, end_state, root, depth, circle and chain. ``end_state`` is root (the chain ends in
     a node without a parent), orphan (in a node whose parent is not there), circle (the node lies on a
     circle) or trapped (its chain runs into one); the last two have no root, depth or chain.
