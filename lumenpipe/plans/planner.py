@@ -158,6 +158,8 @@ class Planner:
         """Semi-join by the key; points and histograms, which lack the owner's id, go through their metric."""
         if key in target.columns and key in st.df.columns:
             return self.semi(target, st.df, key)
+        if key not in ("resource_id", "scope_id"):
+            raise InvalidQuery(f"the key column {key} is not there any more")
         owner = self.table("metrics").select("metric_id", F.col(key).alias("__owner"))
         if key not in target.columns and key in st.df.columns:
             ids = self.semi(owner.withColumnRenamed("__owner", key), st.df, key)

@@ -147,15 +147,15 @@ class Store:
     # small JSON settings
     def save_json(self, name: str, value: object) -> None:
         fs, path = self._fs()
-        out = fs.create(path(self.path(f"_{name}.json")), True)
+        out = fs.create(path(self.path(f"settings-{name}.json")), True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
 
     def load_json(self, name: str, default: object) -> object:
         fs, path = self._fs()
-        if not fs.exists(path(self.path(f"_{name}.json"))):
+        if not fs.exists(path(self.path(f"settings-{name}.json"))):
             return default
-        return json.loads(self.spark.read.text(self.path(f"_{name}.json"), wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(self.path(f"settings-{name}.json"), wholetext=True).first()[0])
 
     def retention(self) -> Retention:
         return Retention(**self.load_json("retention", {}))
