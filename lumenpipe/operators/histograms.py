@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NS, int_div
+from .shared import NS, int_div, previous_row
+
+#: Width of the time shards in which deltas are taken.
+SHARD_NS = 86400 * NS
 
 
 def average(total: Column, count: Column) -> Column:
@@ -54,14 +57,13 @@ def merge_bins(histograms: DataFrame, width_ns: int, keys: list[str]) -> DataFra
 
 def deltas(histograms: DataFrame, keys: list[str], time: str = "bin") -> DataFrame:
     """Cumulative counts to deltas along time; a count below the one before is a reset and stands as it is."""
-    over = Window.partitionBy(*keys).orderBy(time)
-    before = F.lag("bucket_counts").over(over)
+    before = previous_row(histograms, keys, time, ["bucket_counts"], SHARD_NS).withColumn("__before", F.col("previous.bucket_counts"))
     delta = F.zip_with(
         "bucket_counts", "__before",
         lambda c, p: F.when(p.isNotNull() & (c >= p), c - p).otherwise(F.coalesce(c, F.lit(0))),
     )
     step = F.when(F.col("__before").isNull(), F.col("bucket_counts")).otherwise(delta)
-    return histograms.withColumn("__before", before).withColumn("delta_counts", step).drop("__before")
+    return before.withColumn("delta_counts", step).drop("__before", "previous")
 
 
 def heatmap_columns(histograms: DataFrame, keys: list[str], span_ns: int, max_columns: int) -> DataFrame:

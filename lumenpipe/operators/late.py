@@ -7,13 +7,12 @@ their old values, are derived again by cumulating counts in value order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import joined, median_index, values_at_ranks
 from .shared import NS, floor_div, hex_id, materialize
 
-#: Distinct values up to which the counts of one period are cumulated in one window partition.
-WIDE = 1 << 16
 ON_TIME_S, CUT_OFF_S = 60, 900
 
 
@@ -65,86 +64,27 @@ def periods(state: DataFrame) -> DataFrame:
         F.sum("n_on_time").alias("n_on_time"),
         F.sum("n_late").alias("n_late"),
         F.sum("n_dropped").alias("n_dropped"),
-        F.sum(F.when(F.col("value").isNotNull(), kept).otherwise(0)).alias("n_values"),
         F.count(live).alias("n_distinct"),
         F.min(live).alias("min_value"),
         F.max(live).alias("max_value"),
-        F.count(F.lit(1)).alias("n_state"),
     )
 
 
-def _ranked(counts: DataFrame, keys: list[str], before: Column) -> DataFrame:
-    """Value at the lower-median rank, from rows (keys, value, n, n_values) and the count before their group."""
-    upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("cum", before + F.sum("n").over(upto))
-    rank = F.call_function("div", F.col("n_values") + 1, F.lit(2))
-    hit = cum.where((F.col("cum") >= rank) & (F.col("cum") - F.col("n") < rank))
-    return hit.select("resource_id", "minute_unix_s", F.col("value").alias("median"))
-
-
-def _bucket(value: Column) -> Column:
-    """Order-preserving buckets about 2**20 values wide."""
-    return F.shiftright(value, 20)
-
-
-def medians(state: DataFrame, summary: DataFrame, count: Column, total: str) -> DataFrame:
-    """Exact lower median of ``count`` copies per value, by cumulative counts.
-
-    Periods with more than ``WIDE`` distinct values are summed over value buckets first: the buckets are
-    cumulated, and then only the values of the bucket with the median.
-    """
-    keys = ["resource_id", "minute_unix_s"]
-    size = summary.select(
-        F.col("resource_id").alias("__r"), F.col("minute_unix_s").alias("__m"), F.col(total).alias("n_values"),
-        (F.col("n_state") > WIDE).alias("wide"),
-    )
-    rows = state.where(F.col("value").isNotNull()).select(*keys, "value", count.alias("n")).where("n > 0")
-    same = F.col("resource_id").eqNullSafe(F.col("__r")) & (F.col("minute_unix_s") == F.col("__m"))
-    rows = rows.join(size, same).drop("__r", "__m")
-    narrow = _ranked(rows.where(~F.col("wide")), keys, F.lit(0))
-    wide = rows.where("wide").withColumn("bucket", _bucket(F.col("value")))
-    sums = wide.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"), F.first("n_values").alias("n_values"))
-    upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.call_function("div", F.col("n_values") + 1, F.lit(2))
-    target = (
-        sums.withColumn("cum", F.sum("bn").over(upto))
-        .where((F.col("cum") >= rank) & (F.col("cum") - F.col("bn") < rank))
-        .select(
-            F.col("resource_id").alias("__r"), F.col("minute_unix_s").alias("__m"),
-            F.col("bucket").alias("__b"), (F.col("cum") - F.col("bn")).alias("base"),
-        )
-    )
-    inside = wide.join(target, same & (F.col("bucket") == F.col("__b"))).drop("__r", "__m", "__b")
-    return narrow.unionByName(_ranked(inside, [*keys, "base"], F.col("base")))
-
-
-def corrected_periods(spans: DataFrame, batches: int = 1) -> DataFrame:
+def corrected_periods(spans: DataFrame) -> DataFrame:
     """Per (resource_id, minute_unix_s) the aggregates on time and after late corrections.
 
     Columns: n_on_time, n_late, n_dropped, n_distinct, min_value, max_value, median_on_time and median
     (lower medians of duration_ns, exact). Null durations count as rows but have no value.
     """
+    keys = ["resource_id", "minute_unix_s"]
     state = materialize(multiset(first_deliveries(spans)))
-    summary = periods(state)
-    with_on_time = summary.join(
-        state.where(F.col("value").isNotNull())
-        .groupBy(F.col("resource_id").alias("__r"), F.col("minute_unix_s").alias("__m"))
-        .agg(F.sum("n_on_time").alias("n_on_time_values")),
-        F.col("resource_id").eqNullSafe(F.col("__r")) & (F.col("minute_unix_s") == F.col("__m")),
-        "left",
-    ).drop("__r", "__m")
-    both = medians(state, summary, F.col("n_on_time") + F.col("n_late"), "n_values")
-    early = medians(state, with_on_time, F.col("n_on_time"), "n_on_time_values")
-    keyed = lambda d, name: d.select(
-        F.col("resource_id").alias("__r"), F.col("minute_unix_s").alias("__m"), F.col("median").alias(name)
-    )
-    same = F.col("resource_id").eqNullSafe(F.col("__r")) & (F.col("minute_unix_s") == F.col("__m"))
-    out = summary.join(keyed(both, "median_value"), same, "left").drop("__r", "__m")
-    out = out.join(keyed(early, "median_on_time"), same, "left").drop("__r", "__m")
+    counts = state.where(F.col("value").isNotNull()).withColumn("n_kept", F.col("n_on_time") + F.col("n_late"))
+    early = values_at_ranks(counts, keys, "value", "n_on_time", {"median_on_time": median_index})
+    both = values_at_ranks(counts, keys, "value", "n_kept", {"median_value": median_index})
+    out = joined(joined(periods(state), early, keys, "left"), both, keys, "left")
     return out.select(
-        "resource_id", "minute_unix_s", "n_on_time", "n_late", "n_dropped", "n_distinct", "min_value", "max_value",
-        "median_on_time", "median_value",
-    )
+        *keys, "n_on_time", "n_late", "n_dropped", "n_distinct", "min_value", "max_value", "median_on_time", "median_value"
+    )
 
 
 def corrected_minutes(spans: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NS = 1_000_000_000
@@ -73,3 +73,23 @@ def fresh(df: DataFrame, base: str) -> str:
         k += 1
         name = f"__{base}_{k}"
     return name
+
+
+def previous_row(df: DataFrame, keys: list[str], time: str, columns: list[str], width: int) -> DataFrame:
+    """Adds ``previous``, a struct of the columns of the row before in (time) order per key, null for the first.
+
+    Rows are cut into time shards of ``width``; a shard's first row takes the last row of the shard before,
+    found among one summary row per shard. So a hot key is spread over as many tasks as it has shards.
+    """
+    rows = df.withColumn("__shard", floor_div(F.col(time), F.lit(width)))
+    inside = Window.partitionBy(*keys, "__shard").orderBy(time)
+    rows = rows.withColumn("previous", F.lag(F.struct(*columns)).over(inside))
+    last = rows.groupBy(*keys, "__shard").agg(F.max_by(F.struct(*columns), time).alias("__last"))
+    over = Window.partitionBy(*keys).orderBy("__shard")
+    names = [F.col(k).alias(f"__k_{k}") for k in keys]
+    carry = last.select(*names, F.col("__shard").alias("__s"), F.lag("__last").over(over).alias("__carry"))
+    on = F.col("__shard") == F.col("__s")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    out = rows.join(carry, on).withColumn("previous", F.coalesce("previous", "__carry"))
+    return out.drop("__shard", "__s", "__carry", *[f"__k_{k}" for k in keys])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ranks import joined, values_at_ranks
 from ..operators.patterns import log_patterns
 from ..operators.shared import fresh, int_div
 from . import ast as A
@@ -41,7 +42,7 @@ class Typed:
 class Planner:
     """``table`` gives the DataFrame of a table by name; ``now_ns`` is the clock.
 
-    ``approx`` makes p95 and p99 approximate (bounded memory for huge groups); ``compat`` makes ``uniq``
+    ``approx`` makes percentiles approximate (one pass, bounded memory); ``compat`` makes ``uniq``
     remove whole repeated rows instead of rows with a repeated field.
     """
 
@@ -394,14 +395,19 @@ class Planner:
                 c = Typed(int_div(n, F.lit(k.bin_ns)) * F.lit(k.bin_ns), T.LongType())
             keys.append(c.col.alias(k.alias))
         names = [k.alias for k in g.keys]
-        simple = [a for a in g.aggs if a.name not in ("heatmap", "sample")]
+        apart = {"heatmap", "sample"} | (set() if self.approx else set(SHARES))
+        simple = [a for a in g.aggs if a.name not in apart]
         spread = [a for a in g.aggs if a.name in ("heatmap", "sample")]
+        ranked: dict[tuple, list[A.Agg]] = {}
+        for a in g.aggs:
+            if a.name in apart and a.name in SHARES:
+                ranked.setdefault((a.arg, a.pred), []).append(a)
         cols = [self.aggregate(st, a).alias(a.alias) for a in simple]
         if not cols:
             cols = [F.count(F.lit(1)).alias("__rows")]
         out = st.df.groupBy(*keys).agg(*cols) if keys else st.df.agg(*cols)
-        for a in spread:
-            side = self.spread(st, a, keys, names)
+        sides = [self.spread(st, a, keys, names) for a in spread] + [self.percentiles(st, x, keys, names) for x in ranked.values()]
+        for side in sides:
             renamed = side.withColumnsRenamed({n: f"__k_{n}" for n in names})
             on = F.lit(True)
             for n in names:
@@ -442,10 +448,34 @@ class Planner:
             return F.sum(value.cast("bigint") if isinstance(n.kind, WHOLE) else value)
         if a.name == "avg":
             return F.avg(value)
-        share = {"p50": 0.5, "p95": 0.95, "p99": 0.99}[a.name]
-        if self.approx:
-            return F.percentile_approx(value, share, 10_000)
-        return F.percentile(value, share)
+        return F.percentile_approx(value, SHARES[a.name], 10_000)
+
+    def percentiles(self, st: _State, aggs: list[A.Agg], keys: list[Column], names: list[str]) -> DataFrame:
+        """Exact percentiles of one expression, between the values at the two ranks around (n - 1) * share.
+
+        By cumulative counts, so that no task holds the values of a large group.
+        """
+        df = st.df if aggs[0].pred is None else st.df.where(self.pred(st, aggs[0].pred))
+        rows = df.select(*keys, self.number(self.expr(st, aggs[0].arg)).col.alias("__x")).where("__x IS NOT NULL")
+        counts = rows.groupBy(*names, "__x").agg(F.count(F.lit(1)).alias("__m"))
+        picks = {}
+        for a in aggs:
+            spot = lambda n, a=a: (n - 1) * F.lit(SHARES[a.name])
+            picks[f"__lo_{a.alias}"] = lambda n, spot=spot: F.floor(spot(n))
+            picks[f"__hi_{a.alias}"] = lambda n, spot=spot: F.ceil(spot(n))
+        at = values_at_ranks(counts, names, "__x", "__m", picks)
+        total = counts.groupBy(*names).agg(F.sum("__m").alias("__n"))
+        if names:
+            both = joined(at, total, names)
+        else:
+            both = at.unionByName(total, allowMissingColumns=True)
+            both = both.agg(*[F.first(F.col(c), ignorenulls=True).alias(c) for c in both.columns])
+        out = []
+        for a in aggs:
+            lo, hi = F.col(f"__lo_{a.alias}").cast("double"), F.col(f"__hi_{a.alias}").cast("double")
+            part = (F.col("__n") - 1) * F.lit(SHARES[a.name])
+            out.append((lo + (hi - lo) * (part - F.floor(part))).alias(a.alias))
+        return both.select(*names, *out)
 
     def spread(self, st: _State, a: A.Agg, keys: list[Column], names: list[str]) -> DataFrame:
         """heatmap(e): counts by power-of-two bucket; sample(n): n rows as JSON, chosen by hash."""
@@ -463,6 +493,7 @@ class Planner:
 
 
 C_DAY = 86400 * 10**9
+SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 @dataclass(frozen=True)

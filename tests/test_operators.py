@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lumenpipe.functions import ranks
 from lumenpipe.operators import dedup, grid, hierarchy, late, wide
 
 SPAN = (
@@ -175,7 +176,8 @@ def test_late_records_correct_periods(spark, monkeypatch):
         both = [x for x in a + b if x is not None]
         expected[k] = (len(a), len(b), len(c), len(set(both)), low([x for x in a if x is not None]), low(both))
     for limit in (1 << 16, 2):  # the second also sends periods down the way for many values
-        monkeypatch.setattr(late, "WIDE", limit)
+        monkeypatch.setattr(ranks, "WIDE", limit)
+        monkeypatch.setattr(ranks, "BUCKET_BITS", 2)
         got = {
             (r["resource_id"], r["minute_unix_s"]): tuple(
                 r[c] for c in ("n_on_time", "n_late", "n_dropped", "n_distinct", "median_on_time", "median_value")
