@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import NS, floor_div
+from .shared import NS, floor_div, materialize
 
 #: Periods of a shard, and shards of a block of the prefix scan.
 SHARD = 4096
@@ -78,6 +78,7 @@ def regular_grid(points: DataFrame, series: DataFrame) -> DataFrame:
     contradicting ones) collapse into that period. Empty input gives an empty grid.
     """
     periods = counted_periods(points, series).withColumn("shard", floor_div(F.col("period"), F.lit(SHARD)))
+    periods = materialize(periods)  # both the shards and their summaries read it
     inside = Window.partitionBy("series_id", "shard").orderBy("period")
     own = periods.withColumn(
         "prev", F.lag(F.struct(F.col("period").alias("last_period"), F.col("value").alias("last_value"))).over(inside)
