@@ -38,16 +38,19 @@ def _hashable(rows: DataFrame, name: str) -> Column:
 
 
 def accept_sequences(rows: DataFrame, seen: DataFrame | None, order: list[str], payload: list[str]) -> DataFrame:
-    """Range pass over rows with (producer, number), all non-null.
+    """Range pass over rows with (producer, number), and ``odd`` for keys that are no number (then number is null).
 
-    ``seen`` holds (producer, first, last), inclusive disjoint ranges. Returns one row per distinct number:
-    producer, number, n_copies, accepted (false if a seen range covers it), range_id-free merge columns
-    ``block`` and ``island``, and ``row``, the payload of the first copy by ``order``.
+    ``seen`` holds (producer, first, last), inclusive disjoint ranges. Returns one row per distinct
+    identifier: producer, odd, first and last (the number), n_copies, accepted (false if a range covers it), the merge
+    columns ``block`` and ``island``, and ``row``, the payload of the first copy by ``order``. Rows without a
+    number meet only rows of the same key and are accepted; seen ones are for the caller to look up.
     """
+    if "odd" not in rows.columns:
+        rows = rows.withColumn("odd", F.lit(None).cast("string"))
     block = F.shiftright(F.col("number"), BLOCK_BITS)
-    copies = _first_copies(rows, ["producer", "number"], order, payload)
+    copies = _first_copies(rows, ["producer", "number", "odd"], order, payload)
     marks = copies.select(
-        "producer", block.alias("block"), F.col("number").alias("first"), F.col("number").alias("last"),
+        "producer", block.alias("block"), "odd", F.col("number").alias("first"), F.col("number").alias("last"),
         "n_copies", F.lit(1).alias("kind"), *(["row"] if payload else []),
     )
     if seen is not None:
@@ -55,13 +58,13 @@ def accept_sequences(rows: DataFrame, seen: DataFrame | None, order: list[str],
         cut = seen.withColumn("block", F.explode(F.sequence(lo, hi)))
         base = F.shiftleft(F.col("block"), BLOCK_BITS)
         cut = cut.select(
-            "producer", "block", F.greatest("first", base).alias("first"),
+            "producer", "block", F.lit(None).cast("string").alias("odd"), F.greatest("first", base).alias("first"),
             F.least("last", base + F.lit((1 << BLOCK_BITS) - 1)).alias("last"),
             F.lit(0).cast("bigint").alias("n_copies"), F.lit(0).alias("kind"),
         )
         marks = cut.unionByName(marks, allowMissingColumns=True)
-    before = Window.partitionBy("producer", "block").orderBy("first", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("producer", "block").orderBy("first", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("producer", "block", "odd").orderBy("first", "kind")
+    before, upto = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0)
     # covered: a range that began earlier reaches the number; a new island begins where the ranges leave a gap
     opens = F.expr(
         "CASE WHEN reach IS NULL THEN 1 WHEN first <= reach THEN 0 WHEN first - 1 > reach THEN 1 ELSE 0 END"
@@ -75,7 +78,8 @@ def accept_sequences(rows: DataFrame, seen: DataFrame | None, order: list[str],
 def merged_ranges(swept: DataFrame) -> DataFrame:
     """The disjoint ranges (producer, first, last) after a range pass; ranges end at block borders."""
     return (
-        swept.groupBy("producer", "block", "island")
+        swept.where("first IS NOT NULL")
+        .groupBy("producer", "block", "island")
         .agg(F.min("first").alias("first"), F.max("last").alias("last"))
         .select("producer", "first", "last")
     )
@@ -99,23 +103,23 @@ def deduplicate_spans(
     ids = spans.select(
         hex_id("trace_id").alias("__t"), hex_id("span_id").alias("__s"), *dict.fromkeys([*payload, *order])
     )
-    number = hex_number(F.col("__s"))
     proper = F.col("__t").rlike("^[0-9a-f]{32}$") & F.col("__s").rlike("^[0-9a-f]{16}$")
-    sequences = ids.where(proper).withColumnsRenamed({"__t": "producer"}).withColumn("number", number)
-    taken = accept_sequences(sequences, seen, order, payload).where("accepted")
+    proper = F.coalesce(proper, F.lit(False))
+    rows = ids.withColumn("number", F.when(proper, hex_number(F.col("__s")))).withColumn(
+        "odd", F.when(~proper, F.coalesce("__s", F.lit("\u0000")))
+    )
+    taken = accept_sequences(rows.withColumnRenamed("__t", "producer"), seen, order, payload).where("accepted")
     high = F.shiftright(F.col("first"), 32) + F.lit(1 << 31)
     low = F.col("first").bitwiseAND(F.lit((1 << 32) - 1))
     digits = F.lower(F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(low), 8, "0")))
+    span = F.when(F.col("first").isNotNull(), digits).when(F.col("odd") != "\u0000", F.col("odd"))
     fields = [F.col(f"row.{c}").alias(c) for c in payload]
-    whole = taken.select(F.col("producer").alias("trace_id"), digits.alias("span_id"), "n_copies", *fields)
-
-    odd = _first_copies(ids.where(~F.coalesce(proper, F.lit(False))), ["__t", "__s"], order, payload)
-    if seen_keys is not None:
-        k = seen_keys.select(hex_id("trace_id").alias("__kt"), hex_id("span_id").alias("__ks"))
-        same = F.col("__t").eqNullSafe(F.col("__kt")) & F.col("__s").eqNullSafe(F.col("__ks"))
-        odd = odd.join(k, same, "left_anti")
-    odd = odd.select(F.col("__t").alias("trace_id"), F.col("__s").alias("span_id"), "n_copies", *fields)
-    return whole.unionByName(odd)
+    if seen_keys is None:
+        return taken.select(F.col("producer").alias("trace_id"), span.alias("span_id"), "n_copies", *fields)
+    once = taken.select(F.col("producer").alias("trace_id"), span.alias("span_id"), "n_copies", "odd", *fields)
+    k = seen_keys.select(hex_id("trace_id").alias("__kt"), F.coalesce(hex_id("span_id"), F.lit("\u0000")).alias("__ko"))
+    same = F.col("trace_id").eqNullSafe(F.col("__kt")) & (F.col("odd") == F.col("__ko"))
+    return once.join(k, same, "left_anti").drop("odd")
 
 
 def repeated_spans(spans: DataFrame) -> DataFrame:
