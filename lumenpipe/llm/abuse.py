@@ -70,8 +70,23 @@ def _fold(word: str) -> str:
 
 
 def _plain(text: str) -> str:
-    text = text if text.isascii() else unicodedata.normalize("NFKD", text).translate(_DROP)
-    return text.lower().translate(_LOOKALIKES)
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFKD", text).translate(_DROP).lower().translate(_LOOKALIKES)
+
+
+_folded: dict[str, str] = {}
+
+
+def _token(word: str) -> str:
+    """A folded word, # for a number; words seen before are looked up (at most 300 000 of them)."""
+    found = _folded.get(word)
+    if found is None:
+        if len(_folded) >= 300_000:
+            _folded.clear()
+        found = _folded[word] = "#" if word.isdigit() else _fold(word)
+        found = _folded[word] = "#" if found.isdigit() else found
+    return found
 
 
 KINDS: dict[str, str] = {}
@@ -108,12 +123,12 @@ def features(sentence: str) -> set[str]:
     text = _plain(sentence)
     text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
     out = set()
-    for m in _MASKED.findall(text):
-        out.update(("*", f"*{m[0]}{m[-1]}"))
+    if "*" in text or "#" in text:
+        for m in _MASKED.findall(text):
+            out.update(("*", f"*{m[0]}{m[-1]}"))
     if '"' in text or "“" in text or "«" in text or "`" in text:
         out.add("?quote")
-    tokens = [_fold(w) for w in _TOKEN.findall(text)]
-    tokens = ["#" if t.isdigit() else t for t in tokens]
+    tokens = [_token(w) for w in _TOKEN.findall(text)]
     out.update(tokens)
     for a, b in zip(tokens, tokens[1:]):
         out.add(f"{a} {b}")
