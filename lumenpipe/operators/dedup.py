@@ -28,8 +28,7 @@ def _first_copies(rows: DataFrame, keys: list[str], order: list[str], payload: l
     """Fold the copies of a key map-side: number of rows, and the payload of the first delivery."""
     aggs = [F.count(F.lit(1)).alias("n_copies")]
     if payload:
-        rank = F.struct(*[F.col(c) for c in order], F.xxhash64(*[_hashable(rows, c) for c in payload]))
-        aggs.append(F.min_by(F.struct(*payload), rank).alias("row"))
+        aggs.append(F.min_by(F.struct(*payload), F.struct(*[F.col(c) for c in order])).alias("row"))
     return rows.groupBy(*keys).agg(*aggs)
 
 
@@ -99,27 +98,29 @@ def deduplicate_spans(
     span per pair of what is there (null equals null). Copies within one delivery go by a row hash.
     """
     payload = [c for c in (spans.columns if payload is None else payload) if c not in ("trace_id", "span_id")]
-    order = ["wal_seq"] if payload else []
-    ids = spans.select(
-        hex_id("trace_id").alias("__t"), hex_id("span_id").alias("__s"), *dict.fromkeys([*payload, *order])
-    )
+    ids = spans.select(hex_id("trace_id").alias("__t"), hex_id("span_id").alias("__s"))
+    if payload:  # packed, so that no column of the spans can clash with those of the pass
+        tie = F.xxhash64(*[_hashable(spans, c) for c in payload])
+        ids = spans.select(
+            hex_id("trace_id").alias("__t"), hex_id("span_id").alias("__s"), F.col("wal_seq").alias("__wal"),
+            tie.alias("__tie"), F.struct(*payload).alias("__pack"),
+        )
+    order, packed = (["__wal", "__tie"], ["__pack"]) if payload else ([], [])
     proper = F.col("__t").rlike("^[0-9a-f]{32}$") & F.col("__s").rlike("^[0-9a-f]{16}$")
     proper = F.coalesce(proper, F.lit(False))
     rows = ids.withColumn("number", F.when(proper, hex_number(F.col("__s")))).withColumn(
         "odd", F.when(~proper, F.coalesce("__s", F.lit("\u0000")))
     )
-    taken = accept_sequences(rows.withColumnRenamed("__t", "producer"), seen, order, payload).where("accepted")
+    taken = accept_sequences(rows.withColumnRenamed("__t", "producer"), seen, order, packed).where("accepted")
     high = F.shiftright(F.col("first"), 32) + F.lit(1 << 31)
     low = F.col("first").bitwiseAND(F.lit((1 << 32) - 1))
     digits = F.lower(F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(low), 8, "0")))
     span = F.when(F.col("first").isNotNull(), digits).when(F.col("odd") != "\u0000", F.col("odd"))
-    fields = [F.col(f"row.{c}").alias(c) for c in payload]
-    if seen_keys is None:
-        return taken.select(F.col("producer").alias("trace_id"), span.alias("span_id"), "n_copies", *fields)
-    once = taken.select(F.col("producer").alias("trace_id"), span.alias("span_id"), "n_copies", "odd", *fields)
-    k = seen_keys.select(hex_id("trace_id").alias("__kt"), F.coalesce(hex_id("span_id"), F.lit("\u0000")).alias("__ko"))
-    same = F.col("trace_id").eqNullSafe(F.col("__kt")) & (F.col("odd") == F.col("__ko"))
-    return once.join(k, same, "left_anti").drop("odd")
+    fields = [F.col(f"row.__pack.{c}").alias(c) for c in payload]
+    if seen_keys is not None:
+        k = seen_keys.select(hex_id("trace_id").alias("__kt"), F.coalesce(hex_id("span_id"), F.lit("\u0000")).alias("__ko"))
+        taken = taken.join(k, F.col("producer").eqNullSafe(F.col("__kt")) & (F.col("odd") == F.col("__ko")), "left_anti")
+    return taken.select(F.col("producer").alias("trace_id"), span.alias("span_id"), "n_copies", *fields)
 
 
 def repeated_spans(spans: DataFrame) -> DataFrame:

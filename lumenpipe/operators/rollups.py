@@ -14,7 +14,7 @@ MINUTE = 60 * NS
 def with_service(spans: DataFrame, resources: DataFrame) -> DataFrame:
     """Adds ``service``, the service name of the resource, ``unknown`` if there is none."""
     names = resources.groupBy(F.col("resource_id").alias("__id")).agg(F.min("service_name").alias("service"))
-    joined = spans.join(names, spans["resource_id"] == names["__id"], "left").drop("__id")
+    joined = spans.drop("service").join(names, F.col("resource_id") == F.col("__id"), "left").drop("__id")
     return joined.withColumn("service", F.coalesce("service", F.lit("unknown")))
 
 

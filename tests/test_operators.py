@@ -143,7 +143,7 @@ def test_dedup_of_spans(spark):
         span(full.upper(), sid, w=3), span(full, "0000-0000-0000-00FF", w=1, d=9), span(full, "f" * 16), span("short", "x"),
         span("SHORT", " x", w=0, d=1), span(None, sid), span(None, sid), span(full, None),
     ]
-    df = spark.createDataFrame(rows, SPAN).withColumn("row", F.lit("clash"))
+    df = spark.createDataFrame(rows, SPAN).withColumns(dict.fromkeys(["row", "number", "producer", "odd", "first", "n_copies_"], F.lit("clash")))
     once = {(r["trace_id"], r["span_id"]): (r["n_copies"], r["duration_ns"]) for r in dedup.deduplicate_spans(df).collect()}
     assert once == {(full, sid): (2, 9), (full, "f" * 16): (1, 5), ("short", "x"): (2, 1), (None, sid): (2, 5), (full, None): (1, 5)}
     assert dedup.deduplicate_spans(df.limit(0)).count() == 0
