@@ -28,11 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dirs[app]
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the tables that this application has written to the shared folder; results not yet computed are lost."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenpipe/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of files, never a re-run of the plan, and
-    several consumers share one computation. The files stay until the application's folder is removed.
+    several consumers share one computation. The files stay until ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenpipe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"

@@ -306,7 +306,15 @@ _op("d10_trace_filter", lambda s, d: traces.matching_traces(_t(s, d, "spans"), t
     f"""SELECT {_TID.format('trace_id')} AS trace_id, count(*) AS span_count FROM spans GROUP BY 1 HAVING bool_or(coalesce(status = 2 AND (
         contains(lower(name), 'basket') OR coalesce(contains(lower(service_name_attr), 'basket'), false)
         OR coalesce(contains(lower(CAST(_overflow_attrs AS VARCHAR)), 'basket'), false)), false))""")
-_op("d11_span_tree", lambda s, d: traces.span_tree(_t(s, d, "spans")))
+_op("d11_span_tree", lambda s, d: traces.span_tree(_t(s, d, "spans")),
+    f"""WITH RECURSIVE n AS (SELECT {_TID.format('trace_id')} AS t, {_TID.format('span_id')} AS s, wal_seq, coalesce(start_time_unix_nano, 0) AS st,
+        {_TID.format("coalesce(parent_span_id, '')")} AS p0 FROM spans),
+      u AS (SELECT t, s, arg_min(CASE WHEN replace(p0, '0', '') = '' THEN '' ELSE p0 END, wal_seq) AS p, printf('%016X', arg_min(st, wal_seq)) || ':' || s AS k
+        FROM n GROUP BY t, s),
+      r AS (SELECT u.t, u.s, 0 AS depth, u.k AS path FROM u LEFT JOIN u q ON q.t = u.t AND q.s = u.p WHERE u.p = '' OR q.s IS NULL
+        UNION ALL SELECT u.t, u.s, r.depth + 1, r.path || '/' || u.k FROM r JOIN u ON u.t = r.t AND u.p = r.s)
+      SELECT u.t AS trace_id, u.s AS span_id, CAST(coalesce(r.depth, 0) AS BIGINT) AS depth, coalesce(r.path, '~' || u.s) AS sort_path
+      FROM u LEFT JOIN r ON r.t = u.t AND r.s = u.s""")
 
 
 def d12_flamegraph(s: SparkSession, d: str) -> DataFrame:
@@ -329,17 +337,21 @@ def _health(s: SparkSession, d: str) -> DataFrame:
     return health.health_statistics(spans, logs, (B - A) / 60e9)
 
 
-_HEALTH = f"""WITH {_SERVED}, w AS (SELECT * FROM v WHERE {_IN}),
+def _health_sql(a: int, b: int) -> str:
+    return f"""WITH {_SERVED}, w AS (SELECT * FROM v WHERE start_time_unix_nano BETWEEN {a} AND {b}),
     a AS (SELECT service, count(*) AS n, count(*) FILTER (WHERE status = 2) AS e, count(*) FILTER (WHERE http_response_status_code BETWEEN 200 AND 599) AS h,
       count(*) FILTER (WHERE http_response_status_code BETWEEN 200 AND 299) AS c2, count(*) FILTER (WHERE http_response_status_code BETWEEN 300 AND 399) AS c3,
       count(*) FILTER (WHERE http_response_status_code BETWEEN 400 AND 499) AS c4, count(*) FILTER (WHERE http_response_status_code BETWEEN 500 AND 599) AS c5,
       list_sort(list(duration_ns)) AS l FROM w GROUP BY 1),
-    b AS (SELECT service_name AS service, count(*) AS bad FROM logs WHERE {_INL} AND severity_number >= 17 GROUP BY 1),
+    b AS (SELECT service_name AS service, count(*) AS bad FROM logs WHERE time_unix_nano BETWEEN {a} AND {b} AND severity_number >= 17 GROUP BY 1),
     j AS (SELECT service, n, e, h, c2, c3, c4, c5, l, coalesce(bad, 0) AS bad FROM a FULL JOIN b USING (service))
     SELECT service, coalesce(e / n, 0.0) AS span_error_rate, CASE WHEN h > 0 THEN (c4 + c5) / h ELSE 0.0 END AS http_error_rate,
       {", ".join(f"CASE WHEN h > 0 THEN c{k} / h ELSE 0.0 END AS http_{k}xx_rate" for k in (2, 3, 4, 5))},
-      coalesce(n, 0) / {(B - A) / 60e9} AS throughput_per_minute, bad / {(B - A) / 60e9} AS error_logs_per_minute,
+      coalesce(n, 0) / {(b - a) / 60e9} AS throughput_per_minute, bad / {(b - a) / 60e9} AS error_logs_per_minute,
       {", ".join(f"l[CAST(floor((len(l) - 1) * {p / 100.0} + 0.5) AS BIGINT) + 1] AS latency_p{p}_ns" for p in (50, 95, 99))} FROM j"""
+
+
+_HEALTH = _health_sql(A, B)
 _op("d15_health_statistics", _health, _HEALTH)
 _op("d16_health_metrics", lambda s, d: health.health_metrics(_health(s, d)),
     f"WITH s AS ({_HEALTH}) " + " UNION ALL ".join(f"SELECT service, 'health.{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM s" for m in health.METRICS))
@@ -358,8 +370,17 @@ def _health_scores_sql() -> str:
 
 
 _op("d17_health_scores", lambda s, d: health.health_scores(_health(s, d), health.rules_frame(s)), _health_scores_sql())
-_op("d25_health_feed", lambda s, d: health.health_feed(_served(s, d), _t(s, d, "logs"), A, B, 86400 * 10**9))
-_op("d26_histogram_activity", lambda s, d: histograms.activity(adapters.event_histograms(_t(s, d, "events")), ["metric_id"]).select("metric_id", "time_unix_nano", "highest_bucket"))
+_DAY = 86400 * 10**9
+_op("d25_health_feed", lambda s, d: health.health_feed(_served(s, d), _t(s, d, "logs"), A, B, _DAY),
+    f"WITH n AS ({_health_sql(A, B)}), p AS ({_health_sql(A - _DAY, B - _DAY)}) SELECT service, n.* EXCLUDE (service), "
+    "COLUMNS(p.* EXCLUDE (service)) AS 'previous_\\0' FROM n FULL JOIN p USING (service)")
+_op("d26_histogram_activity", lambda s, d: histograms.activity(adapters.event_histograms(_t(s, d, "events")), ["metric_id"]).select("metric_id", "time_unix_nano", "highest_bucket"),
+    """WITH h AS (SELECT event_type AS metric_id, epoch_ns(ts) // 86400000000000 * 86400000000000 AS t,
+      [count(*) FILTER (WHERE value <= 10), count(*) FILTER (WHERE value > 10 AND value <= 50), count(*) FILTER (WHERE value > 50 AND value <= 100),
+       count(*) FILTER (WHERE value > 100 AND value <= 200), count(*) FILTER (WHERE value > 200)] AS b FROM events GROUP BY 1, 2),
+    w AS (SELECT *, lag(b) OVER (PARTITION BY metric_id ORDER BY t) AS p FROM h)
+    SELECT metric_id, t AS time_unix_nano, CAST(list_max([i - 1 FOR i IN [1, 2, 3, 4, 5]
+      IF CASE WHEN p IS NOT NULL AND b[i] >= p[i] THEN b[i] - p[i] ELSE b[i] END > 0]) AS INTEGER) AS highest_bucket FROM w""")
 
 
 def _listed(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
