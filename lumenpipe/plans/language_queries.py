@@ -66,26 +66,26 @@ _text(
 )
 
 # projection, compute, stages
-_text("p2_select_alias", f"spans {_AT} | select span_id as id, name, attr.http.route as route",
+_text("select_alias", f"spans {_AT} | select span_id as id, name, attr.http.route as route",
       f"SELECT span_id AS id, name, http_route AS route FROM spans WHERE {_IN}")
-_text("p3_compute", f"spans {_AT} | compute duration_ns / 1000 as us, us * 2 + 1 as twice, duration_ns % 7 as rest "
+_text("compute_whole", f"spans {_AT} | compute duration_ns / 1000 as us, us * 2 + 1 as twice, duration_ns % 7 as rest "
       "| select span_id, us, twice, rest",
       f"SELECT span_id, duration_ns // 1000 AS us, duration_ns // 1000 * 2 + 1 AS twice, duration_ns % 7 AS rest FROM spans WHERE {_IN}")
-_text("p3_compute_float", f"datapoints {_AT} | compute value / 4 as q, value * 0.5 as h | select series_id, q, h",
+_text("compute_float", f"datapoints {_AT} | compute value / 4 as q, value * 0.5 as h | select series_id, q, h",
       f"SELECT series_id, value / 4 AS q, value * 0.5 AS h FROM datapoints WHERE {_INL}")
-_text("p4_time_stage", "logs last 7d | last 3d | group by {} { count() as n }",
+_text("last_stage", "logs last 7d | last 3d | group by {} { count() as n }",
       f"SELECT count(*) AS n FROM logs WHERE time_unix_nano BETWEEN {NOW - 3 * 86400 * 10**9} AND {NOW}")
-_text("p5_resource_scope", f"spans {_AT} | where resource.service_name == 'cartwheel' | group by {{ scope.name as lib }} {{ count() as n }}",
+_text("scoped_fields", f"spans {_AT} | where resource.service_name == 'cartwheel' | group by {{ scope.name as lib }} {{ count() as n }}",
       f"SELECT c.name AS lib, count(*) AS n FROM spans s JOIN resources r USING (resource_id) LEFT JOIN scopes c USING (scope_id) "
       f"WHERE {_IN} AND r.service_name = 'cartwheel' GROUP BY 1")
-_text("p5_resource_attribute", f"spans {_AT} | group by {{ resource.k8s.namespace.name as ns }} {{ count() as n }}",
+_text("scoped_attribute", f"spans {_AT} | group by {{ resource.k8s.namespace.name as ns }} {{ count() as n }}",
       f"""SELECT json_extract_string(r.attributes, '$."k8s.namespace.name"') AS ns, count(*) AS n
           FROM spans s LEFT JOIN resources r USING (resource_id) WHERE {_IN} GROUP BY 1""")
-_text("p6_promoted_attribute", f"spans {_AT} | where attr.http.response.status_code >= 500 | select span_id, http_response_status_code",
+_text("promoted_attribute", f"spans {_AT} | where attr.http.response.status_code >= 500 | select span_id, http_response_status_code",
       f"SELECT span_id, http_response_status_code FROM spans WHERE {_IN} AND http_response_status_code >= 500")
-_text("p7_overflow_attribute", f"spans {_AT} | where exists attr.x-trace-hint | group by {{}} {{ count() as n }}".replace("attr.x-trace-hint", "attr.debug.note"),
+_text("overflow_attribute", f"spans {_AT} | where exists attr.x-trace-hint | group by {{}} {{ count() as n }}".replace("attr.x-trace-hint", "attr.debug.note"),
       f"SELECT count(*) AS n FROM spans WHERE {_IN} AND _overflow_attrs['debug.note'] IS NOT NULL")
-_text("p7_overflow_number", f"spans {_AT} | where attr.retry.count > 500 | select span_id, attr.retry.count as retries",
+_text("overflow_number", f"spans {_AT} | where attr.retry.count > 500 | select span_id, attr.retry.count as retries",
       f"""SELECT span_id, regexp_replace(_overflow_attrs['retry.count'], '^"(.*)"$', '\\1') AS retries FROM spans WHERE {_IN}
           AND try_cast(regexp_replace(_overflow_attrs['retry.count'], '^"(.*)"$', '\\1') AS DOUBLE) > 500""")
 
