@@ -144,9 +144,9 @@ def features(sentence: str) -> set[str]:
     return out
 
 
-#: Training: precision of the weights' prior, how much more of it a feature gets per share of documents that have it, steps per
-#: round, the weights of the kinds before any label is seen, and what words in less than ``RARE_SHARE`` add to the first guess.
-PRECISION, COMMON, STEPS = 1.4, 1500.0, 300
+#: Training: precision of the weights' prior, how much more of it a feature gets per share of documents that have it, steps of the
+#: first and of later rounds, the weights of the kinds before any label is seen, and what words in less than ``RARE_SHARE`` add to the first guess.
+PRECISION, COMMON, STEPS, MORE = 1.4, 1500.0, 250, 100
 SEEDED = {"?insult": 1.0, "?sexual": 1.0, "?hate": 1.0, "?harm": 0.7, "?you": 0.3, "?bad+you": 1.0, "?bad+forbid": -2.0, "*": 1.0}
 RARE, RARE_SHARE = 0.05, 0.01
 #: Score of a text without words: severity 0.
@@ -297,7 +297,7 @@ def train(
                 ys.append(y)
                 ws.append(c * (DOUBT if turn and scores.max() <= usual + 1 else 1.0))
         start = state if turn else (seeded, state[1])
-        state = fit_ordinal(rows, np.array(ys), np.array(ws), width, COMMON * share, start=start, steps=STEPS, prior=seeded)
+        state = fit_ordinal(rows, np.array(ys), np.array(ws), width, COMMON * share, start=start, steps=MORE if turn else STEPS, prior=seeded)
     w, raw = state
     cuts = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
     worst = np.array([max(state[0][s].sum() for s in bag) for bag in bags])
