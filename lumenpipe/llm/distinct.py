@@ -53,19 +53,23 @@ class Sketches:
         state = _mix(hashes.astype(np.uint64))
         time = np.zeros(len(group))
         k = 0
-        while len(group):
-            state = state + _G
-            bits = _mix(state)
-            time = time - np.log1p(-(bits >> np.uint64(11)).astype(np.float64) * 2.0**-53) / self.m
+        while True:
             live = time < self.limit[group]
             if not live.all():
-                group, time, state, bits = group[live], time[live], state[live], bits[live]
-                if not len(group):
-                    break
+                group, time, state = group[live], time[live], state[live]
+            if not len(group):
+                break
+            # one arrival of many identifiers, or many arrivals of the few that are left (small groups)
+            n = max(1, min(256, 8192 // len(group)))
+            steps = state[:, None] + _G * np.arange(1, n + 1, dtype=np.uint64)
+            bits = _mix(steps)
+            waits = -np.log1p(-(bits >> np.uint64(11)).astype(np.float64) * 2.0**-53) / self.m
+            times = np.cumsum(np.concatenate([time[:, None], waits], axis=1), axis=1)[:, 1:]
             register = (_mix(bits ^ _G) % np.uint64(self.m)).astype(np.int64)
-            np.minimum.at(flat, group * self.m + register, time)
+            np.minimum.at(flat, (group[:, None] * self.m + register).reshape(-1), times.reshape(-1))
+            time, state = times[:, -1], steps[:, -1]
             k += 1
-            if k <= 16 or k % 16 == 0:
+            if k <= 16 or k % 16 == 0 or n > 16:
                 self.limit = self.rows.max(axis=1)
 
 
