@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,9 @@ A, B = 1741046400000000000, 1741305600000000000
 _AT = f"between({A}, {B})"
 _IN = f"start_time_unix_nano BETWEEN {A} AND {B}"
 _INL = f"time_unix_nano BETWEEN {A} AND {B}"
+#: A range that covers every row, also those of an unset clock (time 0).
+ALL_A, ALL_B = 0, 4 * 10**18
+_ALL = f"between({ALL_A}, {ALL_B})"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,13 +30,22 @@ def engine(spark: SparkSession, d: str) -> Engine:
     return Engine(spark, adapters.signals(spark, d), now_ns=NOW)
 
 
-def _text(name: str, text: str, sql: str, aux: str | None = None) -> None:
+def _unfiltered(sql: str) -> str:
+    """The SQL without its time scopes."""
+    return re.sub(r"\b(start_)?time_unix_nano BETWEEN -?\d+ AND -?\d+", "true", sql)
+
+
+def _text(name: str, text: str, sql: str, aux: str | None = None, whole: bool = True) -> None:
+    """Register a query; one over A..B also as ``<name>_whole`` over every row, unless the time scope is its point."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
         result = engine(spark, d).query(text)
         return result.primary if aux is None else result.aux[aux]
 
     run.__name__ = name
     QUERIES[name], SQL[name] = run, sql
+    if whole and _AT in text:
+        _text(f"{name}_whole", text.replace(_AT, _ALL), _unfiltered(sql), aux)
 
 
 def _op(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -51,7 +64,7 @@ _text("s3_today", "spans today | group by {} { count() as n }",
 _text("s3_yesterday", "spans yesterday | group by {} { count() as n }",
       f"SELECT count(*) AS n FROM spans WHERE start_time_unix_nano BETWEEN {_MID - 86400 * 10**9} AND {_MID}")
 _text("s4_between", f"spans {_AT} | group by {{ kind }} {{ count() as n, sum(duration_ns) as total }}",
-      f"SELECT kind, count(*) AS n, CAST(sum(duration_ns) AS BIGINT) AS total FROM spans WHERE {_IN} GROUP BY 1")
+      f"SELECT kind, count(*) AS n, CAST(sum(duration_ns) AS BIGINT) AS total FROM spans WHERE {_IN} GROUP BY 1", whole=False)
 _text("s6_lookup_resource", "resource(612398678)", "SELECT * FROM resources WHERE resource_id = 612398678 LIMIT 1")
 _text("s12_raw_scan", "scopes last 1h", "SELECT * FROM scopes")
 
@@ -157,17 +170,21 @@ _text("a12_error_rate", f"spans {_AT} | group by {{ kind }} {{ error_rate() as r
       f"SELECT kind, avg(CASE WHEN status = 2 THEN 1.0 ELSE 0.0 END) AS r, avg(CASE WHEN status = 2 THEN 1.0 ELSE 0.0 END) "
       f"FILTER (WHERE duration_ns > 50000000) AS slow FROM spans WHERE {_IN} GROUP BY 1")
 _text("a13_throughput", f"spans {_AT} | group by {{ name }} {{ throughput() as per_s }}",
-      f"SELECT name, count(*) / {(B - A) / 1e9} AS per_s FROM spans WHERE {_IN} GROUP BY 1")
+      f"SELECT name, count(*) / {(B - A) / 1e9} AS per_s FROM spans WHERE {_IN} GROUP BY 1", whole=False)
+_text("a13_throughput_whole", f"spans {_ALL} | group by {{ name }} {{ throughput() as per_s }} | compute per_s * 1000000000 as per_s",
+      f"SELECT name, count(*) / {(ALL_B - ALL_A) / 1e9} * 1000000000 AS per_s FROM spans GROUP BY 1")
 
 
-def a14_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    out = engine(spark, d).query(f"spans {_AT} | group by {{ ts() bin 6h as bucket }} {{ heatmap(duration_ns) as h }}").primary
+def a14_heatmap(spark: SparkSession, d: str, at: str = _AT) -> DataFrame:
+    out = engine(spark, d).query(f"spans {at} | group by {{ ts() bin 6h as bucket }} {{ heatmap(duration_ns) as h }}").primary
     return out.select("bucket", F.explode("h").alias("c")).select("bucket", "c.le", "c.count")
 
 
 _op("a14_heatmap", a14_heatmap,
     f"SELECT start_time_unix_nano // 21600000000000 * 21600000000000 AS bucket, "
     f"CASE WHEN duration_ns > 0 THEN pow(2.0, ceil(log2(duration_ns))) ELSE 0.0 END AS le, count(*) AS count FROM spans WHERE {_IN} GROUP BY 1, 2")
+_op("a14_heatmap_whole", lambda s, d: a14_heatmap(s, d, _ALL), _unfiltered(SQL["a14_heatmap"]))
+_op("a15_sample_whole", lambda s, d: engine(s, d).query(f"logs {_ALL} | group by {{ service_name }} {{ sample(2) as rows, count() as n }}").primary)
 _op("a15_sample", lambda s, d: engine(s, d).query(f"logs {_AT} | group by {{ service_name }} {{ sample(2) as rows, count() as n }}").primary)
 _text("a16_filtered", f"spans {_AT} | group by {{}} {{ count() where status == ERROR as errors, count() as total, max(duration_ns) where kind == SERVER as m }}",
       f"SELECT count(*) FILTER (WHERE status = 2) AS errors, count(*) AS total, max(duration_ns) FILTER (WHERE kind = 2) AS m FROM spans WHERE {_IN}")
@@ -331,10 +348,10 @@ _op("d12_flamegraph", d12_flamegraph,
     SELECT r || '/' || n || '/' || s, s, 2, r || '/' || n, v, v FROM f""")
 
 
-def _health(s: SparkSession, d: str) -> DataFrame:
-    spans = _served(s, d).where(F.col("start_time_unix_nano").between(A, B))
-    logs = _t(s, d, "logs").where(F.col("time_unix_nano").between(A, B))
-    return health.health_statistics(spans, logs, (B - A) / 60e9)
+def _health(s: SparkSession, d: str, a: int = A, b: int = B) -> DataFrame:
+    spans = _served(s, d).where(F.col("start_time_unix_nano").between(a, b))
+    logs = _t(s, d, "logs").where(F.col("time_unix_nano").between(a, b))
+    return health.health_statistics(spans, logs, (b - a) / 60e9)
 
 
 def _health_sql(a: int, b: int) -> str:
@@ -352,9 +369,12 @@ def _health_sql(a: int, b: int) -> str:
 
 
 _HEALTH = _health_sql(A, B)
+_HEALTH_WHOLE = _unfiltered(_health_sql(ALL_A, ALL_B))
 _op("d15_health_statistics", _health, _HEALTH)
+_op("d15_health_statistics_whole", lambda s, d: _health(s, d, ALL_A, ALL_B), _HEALTH_WHOLE)
 _op("d16_health_metrics", lambda s, d: health.health_metrics(_health(s, d)),
     f"WITH s AS ({_HEALTH}) " + " UNION ALL ".join(f"SELECT service, 'health.{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM s" for m in health.METRICS))
+_op("d16_health_metrics_whole", lambda s, d: health.health_metrics(_health(s, d, ALL_A, ALL_B)), SQL["d16_health_metrics"].replace(_HEALTH, _HEALTH_WHOLE))
 
 
 def _score(col: str, w: float, e: float) -> str:
@@ -370,10 +390,15 @@ def _health_scores_sql() -> str:
 
 
 _op("d17_health_scores", lambda s, d: health.health_scores(_health(s, d), health.rules_frame(s)), _health_scores_sql())
+_op("d17_health_scores_whole", lambda s, d: health.health_scores(_health(s, d, ALL_A, ALL_B), health.rules_frame(s)),
+    _health_scores_sql().replace(_HEALTH, _HEALTH_WHOLE))
 _DAY = 86400 * 10**9
 _op("d25_health_feed", lambda s, d: health.health_feed(_served(s, d), _t(s, d, "logs"), A, B, _DAY),
     f"WITH n AS ({_health_sql(A, B)}), p AS ({_health_sql(A - _DAY, B - _DAY)}) SELECT service, n.* EXCLUDE (service), "
     "COLUMNS(p.* EXCLUDE (service)) AS 'previous_\\0' FROM n FULL JOIN p USING (service)")
+_op("d25_health_feed_whole", lambda s, d: health.health_feed(_served(s, d), _t(s, d, "logs"), ALL_A, ALL_B, _DAY),
+    f"WITH n AS ({_HEALTH_WHOLE}), p AS ({_HEALTH_WHOLE}) SELECT service, n.* EXCLUDE (service), "
+    "COLUMNS(p.* EXCLUDE (service)) AS 'previous_\\0' FROM n FULL JOIN p USING (service)")
 _op("d26_histogram_activity", lambda s, d: histograms.activity(adapters.event_histograms(_t(s, d, "events")), ["metric_id"]).select("metric_id", "time_unix_nano", "highest_bucket"),
     """WITH h AS (SELECT event_type AS metric_id, epoch_ns(ts) // 86400000000000 * 86400000000000 AS t,
       [count(*) FILTER (WHERE value <= 10), count(*) FILTER (WHERE value > 10 AND value <= 50), count(*) FILTER (WHERE value > 50 AND value <= 100),
