@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import words
+from .text import word_spans, words
 
 #: Consecutive words in common that make a leak.
 N = 12
@@ -137,7 +137,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, n: int = N) -> DataFram
 def without_leaks(documents: DataFrame, items: DataFrame, n: int = N, whole_documents: bool = False) -> DataFrame:
     """The documents with the leaked words cut out (or without the documents that have any).
 
-    Text is only rebuilt where something leaked; there it is the remaining normalised words.
+    A run is cut from the first character of its first word to the last of its last word; all other characters stay as they are.
     """
     runs = leaks(documents, items, n)
     if whole_documents:
@@ -152,11 +152,11 @@ def without_leaks(documents: DataFrame, items: DataFrame, n: int = N, whole_docu
 
         out = []
         for t, c in zip(text, cuts):
-            w = words(t)
-            keep = np.ones(len(w), dtype=bool)
-            for r in c:
-                keep[r["first_word"] : r["last_word"] + 1] = False
-            out.append(" ".join(x for x, k in zip(w, keep) if k))
+            at, kept, pos = word_spans(t), [], 0
+            for first, last in sorted((r["first_word"], r["last_word"]) for r in c):
+                kept.append(t[pos : max(pos, at[first][0])])
+                pos = max(pos, at[last][1])
+            out.append("".join(kept) + t[pos:])
         return pd.Series(out)
 
     joined = documents.join(cuts, F.col("doc_id") == F.col("__doc"), "left")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenpipe.llm import abuse, distinct, leakage, mixing, percentiles
-from lumenpipe.llm.text import words
+from lumenpipe.llm.text import word_spans, words
 
 
 def nearest_rank(values, per_mille):
@@ -128,6 +128,35 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaked_items(leaked, i).count() < len(want)
 
 
+def test_word_spans_belong_to_the_words():
+    every = "".join(chr(i) + " " for i in range(0x3000) if not 0xD800 <= i < 0xE000)
+    mixed = ["Cafe\u0301-Ünïon ﬁx² STRASSE_x", "a\u00adb\u200dc ΟΔΟΣ, İx", "½ ﷺ 각 Ǆ", "plain Ascii_text 12", "", every]
+    for t in mixed:
+        spans = word_spans(t)
+        assert len(spans) == len(words(t))
+        for (a, b), w in zip(spans, words(t)):
+            assert w in words(t[a:b]) or w in [x.replace("σ", "ς") for x in words(t[a:b])]
+    assert word_spans("Cafe\u0301-Ünïon") == [(0, 5), (6, 11)]
+
+
+def test_removal_leaves_other_text_as_it_is(spark):
+    leak = "Länge Eins zwei DREI vier fünf sechs sieben acht neun zehn elf"
+    before, after = "Über  alles:\n\t„Ärger“ (Nr. 7)! ", "; na\u0308chste Zeile\r\n- A_b, ½ C? "
+    docs = [
+        (1, before + leak.upper().replace(" ", ", ") + after), (2, before), (3, leak), (4, None),
+        (5, before + leak + " zwölf" + after + leak.lower() + "."), (6, "Intro. " + unicodedata.normalize("NFD", leak[::-1] + " Z. " + leak + " zwölf") + "\n"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, leak), (2, "x " + leak + " zwölf")], "item_id bigint, text string")
+    want = {1: before + after, 2: before, 3: "", 4: None, 5: before + after + ".", 6: "Intro. " + unicodedata.normalize("NFD", leak[::-1]) + " Z. \n"}
+    assert {r["doc_id"]: r["text"] for r in leakage.without_leaks(d, i).collect()} == want
+    limit, leakage.BROADCAST_GRAMS = leakage.BROADCAST_GRAMS, 0
+    try:
+        assert {r["doc_id"]: r["text"] for r in leakage.without_leaks(d, i).collect()} == want
+    finally:
+        leakage.BROADCAST_GRAMS = limit
+
+
 def test_mix_reaches_its_shares_in_curriculum_order(spark):
     rnd = random.Random(4)
     docs = []
