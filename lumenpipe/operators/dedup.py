@@ -124,5 +124,5 @@ def deduplicate_spans(
 
 
 def repeated_spans(spans: DataFrame) -> DataFrame:
-    """(trace_id, span_id) of spans that the pass accepted once and met again."""
+    """(trace_id, span_id) of spans with more than one row, by the count of the keyed fold (no range decides here)."""
     return deduplicate_spans(spans, payload=[]).where("n_copies > 1").select("trace_id", "span_id")
