@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import deduplicate_spans
 from ..operators.shared import NS, floor_div, hex_id, materialize
 from . import abuse, distinct, leakage, mixing, percentiles
 
@@ -17,9 +18,9 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _served(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def _served(spark: SparkSession, d: str, *columns: str, spans: DataFrame | None = None) -> DataFrame:
     """Spans with the service of their resource (null if there is none) and the UTC day of their start."""
-    spans = _table(spark, d, "spans").select("resource_id", "start_time_unix_nano", *columns)
+    spans = (_table(spark, d, "spans") if spans is None else spans).select("resource_id", "start_time_unix_nano", *columns)
     services = _table(spark, d, "resources").groupBy("resource_id").agg(F.min("service_name").alias("service_name"))
     day = F.date_add(F.lit("1970-01-01").cast("date"), floor_div(F.col("start_time_unix_nano"), F.lit(86400 * NS)).cast("int"))
     return spans.join(services, "resource_id", "left").select("service_name", day.alias("day"), *columns)
@@ -30,6 +31,7 @@ def _partials(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Over the rows of spans: a span delivered several times counts several times."""
     keys = ["service_name", "name"]
     combined = percentiles.combine(materialize(_partials(spark, d)), keys)
     rows = _served(spark, d, "name", "duration_ns")
@@ -37,9 +39,29 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_daily_partials(spark: SparkSession, d: str) -> DataFrame:
+    """Over the rows of spans, as p3_percentiles."""
     return _partials(spark, d)
 
 
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    first = deduplicate_spans(_table(spark, d, "spans"), payload=["resource_id", "start_time_unix_nano", "name", "duration_ns"])
+    return _served(spark, d, "name", "duration_ns", spans=first)
+
+
+def p3_span_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The percentiles with each span (trace_id, span_id) counted once, by its first delivery."""
+    keys = ["service_name", "name"]
+    rows = materialize(_once(spark, d))
+    partials = percentiles.partial_counts(rows, ["day", *keys], "duration_ns")
+    combined = percentiles.combine(materialize(partials), keys)
+    return percentiles.percentiles_by_bisection(rows, combined, keys, "duration_ns", PER_MILLE)
+
+
+def p3_span_daily_partials(spark: SparkSession, d: str) -> DataFrame:
+    """The daily partial counts with each span counted once, by its first delivery."""
+    return percentiles.partial_counts(_once(spark, d), ["day", "service_name", "name"], "duration_ns")
+
+
 def _sketches(spark: SparkSession, d: str) -> DataFrame:
     rows = _served(spark, d, "trace_id").withColumn("trace_id", hex_id("trace_id"))
     return distinct.sketch(rows, ["day", "service_name"], "trace_id")
@@ -98,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p3_percentiles, p3_daily_partials, p6_distinct, p6_sketches, p8_found, p8_clean_documents, p9_mix, p9_shares,
-        p10_found, p10_scores, p10_rates,
+        p10_found, p10_scores, p10_rates, p3_span_percentiles, p3_span_daily_partials,
     )
 }
 
@@ -113,4 +135,12 @@ SQL: dict[str, str] = {
                    count(*) OVER (PARTITION BY service_name, name) AS n FROM v)
       SELECT service_name, name, per_mille, v AS value, n FROM o, (VALUES (500), (900), (950), (990)) p(per_mille)
       WHERE k = greatest(1, (n * per_mille + 999) // 1000)""",
+    "p3_span_percentiles": """WITH f AS (SELECT arg_min({'r': resource_id, 'name': name, 'v': duration_ns}, wal_seq) AS x FROM spans
+      GROUP BY lower(regexp_replace(trace_id, '[\\s\\x{A0}-]', '', 'g')), lower(regexp_replace(span_id, '[\\s\\x{A0}-]', '', 'g'))),
+      v AS (SELECT service_name, x.name AS name, x.v AS v FROM f
+        LEFT JOIN (SELECT resource_id, min(service_name) AS service_name FROM resources GROUP BY 1) r ON r.resource_id = x.r WHERE x.v IS NOT NULL),
+      o AS (SELECT *, row_number() OVER (PARTITION BY service_name, name ORDER BY v) AS k,
+                   count(*) OVER (PARTITION BY service_name, name) AS n FROM v)
+      SELECT service_name, name, per_mille, v AS value, n FROM o, (VALUES (500), (900), (950), (990)) p(per_mille)
+      WHERE k = greatest(1, (n * per_mille + 999) // 1000)""",
 }

@@ -45,6 +45,20 @@ def test_percentiles_by_bisection(spark, kind):
     assert percentiles.percentiles_by_bisection(empty, percentiles.partial_counts(empty, ["g"], "v"), ["g"], "v", [500]).count() == 0
 
 
+def test_percentiles_count_each_span_once(spark, tmp_path):
+    from lumenpipe.llm import queries
+
+    t = ["0" * 31 + x for x in "123"]
+    rows = [(t[0], "000000000000000a", k, 1, 5, "op", 900 + k) for k in range(1, 6)]  # one span, five deliveries
+    rows += [(t[0].upper() + " ", "000000000000000A", 9, 1, 5, "op", 7), (t[1], "000000000000000b", 2, 1, 5, "op", 10), (t[2], "000000000000000c", 3, 1, 5, "op", 20)]
+    cols = "trace_id string, span_id string, wal_seq bigint, resource_id bigint, start_time_unix_nano bigint, name string, duration_ns bigint"
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/spans.parquet")
+    spark.createDataFrame([(1, "shop")], "resource_id bigint, service_name string").write.parquet(f"{tmp_path}/resources.parquet")
+    got = {r["per_mille"]: (r["value"], r["n"]) for r in queries.QUERIES["p3_span_percentiles"](spark, str(tmp_path)).collect()}
+    assert got == {500: (20, 3), 900: (901, 3), 950: (901, 3), 990: (901, 3)}
+    assert sum(r["n"] for r in queries.QUERIES["p3_span_daily_partials"](spark, str(tmp_path)).collect()) == 3
+
+
 def test_distinct_counts_lie_in_their_intervals(spark):
     sizes = {"tiny": 1, "small": 37, "mid": 5_000, "big": 60_000}
     rows = spark.range(0).selectExpr("'x' as g", "'y' as day", "'z' as id")
