@@ -61,6 +61,12 @@ _text("s2_last", "logs last 2d | select log_id, time_unix_nano",
 _MID = NOW // (86400 * 10**9) * 86400 * 10**9
 _text("s3_today", "spans today | group by {} { count() as n }",
       f"SELECT count(*) AS n FROM spans WHERE start_time_unix_nano BETWEEN {_MID} AND {_MID + 86400 * 10**9}")
+#: A clock within the last day of the driver's spans, where "today" has rows.
+LAST_DAY = 1741543200000000000
+_MID_LAST = LAST_DAY // (86400 * 10**9) * 86400 * 10**9
+_op("s3_today_last_day",
+    lambda s, d: Engine(s, adapters.signals(s, d), now_ns=LAST_DAY).query("spans today | group by {} { count() as n }").primary,
+    f"SELECT count(*) AS n FROM spans WHERE start_time_unix_nano BETWEEN {_MID_LAST} AND {_MID_LAST + 86400 * 10**9}")
 _text("s3_yesterday", "spans yesterday | group by {} { count() as n }",
       f"SELECT count(*) AS n FROM spans WHERE start_time_unix_nano BETWEEN {_MID - 86400 * 10**9} AND {_MID}")
 _text("s4_between", f"spans {_AT} | group by {{ kind }} {{ count() as n, sum(duration_ns) as total }}",

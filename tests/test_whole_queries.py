@@ -48,3 +48,9 @@ def test_whole_health_agrees_with_sql(spark):
             for column, value in row.items():
                 mine = got[service][column]
                 assert mine == value or math.isclose(mine, value, rel_tol=1e-9), (service, column)
+
+
+def test_today_has_rows(spark):
+    (got,) = lq.QUERIES["s3_today_last_day"](spark, D).collect()
+    want = duckdb.sql(lq.SQL["s3_today_last_day"].replace("FROM spans", f"FROM '{D}/spans.parquet'")).fetchall()[0][0]
+    assert got["n"] == want > 0
