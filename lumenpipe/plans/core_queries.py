@@ -34,6 +34,13 @@ def p2_exactly_once(spark: SparkSession, d: str) -> DataFrame:
     return once.withColumn("parent_span_id", parent_id("parent_span_id")).drop("_overflow_attrs")
 
 
+def p2_exactly_once_attrs(spark: SparkSession, d: str) -> DataFrame:
+    """The kept rows with their attribute map, as [key, value] pairs by key."""
+    once = dedup.deduplicate_spans(table(spark, d, "spans")).withColumn("parent_span_id", parent_id("parent_span_id"))
+    pairs = F.transform(F.array_sort(F.map_entries("_overflow_attrs")), lambda e: F.array(e["key"], e["value"]))
+    return once.withColumn("_overflow_attrs", pairs)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.spans_on_circles(table(spark, d, "spans"))
 
@@ -67,7 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_grid, p2_found, p2_exactly_once, p4_found, p4_hierarchy, p4_descendants, p5_found, p5_minutes,
-        p7_found, p7_wide,
+        p7_found, p7_wide, p2_exactly_once_attrs,
     )
 }
 
@@ -190,3 +197,8 @@ SQL: dict[str, str] = {
     "p7_found": f"{_ATTRS} SELECT DISTINCT t AS trace_id, s AS span_id, key FROM d WHERE NOT fits",
     "p7_wide": _wide_sql(),
 }
+
+SQL["p2_exactly_once_attrs"] = f"""SELECT o.*, list_sort([[e.key, e.value] FOR e IN map_entries(a.x.m)]) AS _overflow_attrs
+    FROM ({SQL["p2_exactly_once"]}) o JOIN (
+      SELECT {T} AS trace_id, {S} AS span_id, arg_min({{'m': _overflow_attrs}}, wal_seq) AS x FROM spans GROUP BY 1, 2) a
+    ON a.trace_id IS NOT DISTINCT FROM o.trace_id AND a.span_id IS NOT DISTINCT FROM o.span_id"""

@@ -226,3 +226,13 @@ def test_reads_as(spark, value, kind, fits):
     df = spark.createDataFrame([(value, kind)], "v string, k string").select(wide.bare_value("v").alias("v"), "k")
     got = df.select(F.when(F.col("v").isNotNull(), wide.reads_as(F.col("v"), F.col("k"))).alias("f")).first()["f"]
     assert got == fits
+
+
+def test_exactly_once_returns_the_attributes_of_the_kept_copy(spark, tmp_path):
+    from lumenpipe.plans import core_queries
+
+    rows = [("AB" * 16, "0" * 15 + "1", None, 7, {"b": "2", "a": None}), ("ab" * 16, "0" * 15 + "1", None, 8, {"c": "3"}), ("cd" * 16, "0" * 15 + "2", None, 8, None)]
+    cols = "trace_id string, span_id string, parent_span_id string, wal_seq bigint, _overflow_attrs map<string,string>"
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/spans.parquet")
+    got = {r["span_id"][-1]: (r["n_copies"], r["_overflow_attrs"]) for r in core_queries.QUERIES["p2_exactly_once_attrs"](spark, str(tmp_path)).collect()}
+    assert got == {"1": (2, [["a", None], ["b", "2"]]), "2": (1, None)}
