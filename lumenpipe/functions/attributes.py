@@ -14,11 +14,18 @@ def _is_text(raw: Column) -> Column:
     return raw.startswith('"')
 
 
+def overflow_text(raw: Column) -> Column:
+    """A JSON string as its text with its escapes resolved, any other value as its JSON text."""
+    # texts with escapes go through the JSON parser; one that is no valid JSON keeps its inner characters
+    decoded = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
+    inner = F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0)))
+    quoted = (F.length(raw) >= 2) & raw.startswith('"') & raw.endswith('"')
+    return F.when(quoted, F.when(raw.contains("\\"), F.coalesce(decoded, inner)).otherwise(inner)).otherwise(raw)
+
+
 def overflow_get_str(attributes: Column, key: str) -> Column:
     """A text as it is, any other value as its JSON text; null if the key is missing."""
-    raw = _raw(attributes, key)
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, '^"|"$', ""), r'\\"', '"'), r"\\\\", r"\\")
-    return F.when(_is_text(raw), text).otherwise(raw)
+    return overflow_text(_raw(attributes, key))
 
 
 def overflow_get_i64(attributes: Column, key: str) -> Column:

@@ -39,6 +39,5 @@ def icicle(nodes: DataFrame) -> DataFrame:
 
     root = nodes.where("depth = 0").agg(F.sum("total_value").alias("all_total"))
     siblings = Window.partitionBy("parent_path").orderBy(F.desc("total_value"), "path")
-    return nodes.withColumn("rank", F.row_number().over(siblings)).withColumn(
-        "share", F.col("total_value") / F.lit(root.first()["all_total"] or 1)
-    )
+    ranked = nodes.withColumn("rank", F.row_number().over(siblings)).join(F.broadcast(root))  # one row
+    return ranked.withColumn("share", F.col("total_value") / F.coalesce(F.nullif("all_total", F.lit(0)), F.lit(1))).drop("all_total")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import exemplar_index, ranked_values, rollup_index
+from ..functions.ranks import exemplar_index, joined, ranked_values, rollup_index, values_at_ranks
 from .shared import NS, floor_div, int_div
 
 MINUTE = 60 * NS
@@ -25,15 +25,17 @@ def span_rollup(spans: DataFrame) -> DataFrame:
     """
     keys = ["service", "name", "minute_bucket"]
     rows = spans.withColumn("minute_bucket", floor_div(F.col("start_time_unix_nano"), F.lit(MINUTE)))
-    base = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"), F.count(F.when(~F.col("status").eqNullSafe(F.lit(1)), 1)).alias("error_count"),
-        F.min("duration_ns").alias("min_duration"), F.max("duration_ns").alias("max_duration"),
-        F.sum("duration_ns").alias("sum_duration"),
+    n = F.col("count")
+    folded = rows.groupBy(*keys, "duration_ns").agg(
+        F.count(F.lit(1)).alias("count"), F.count(F.when(~F.col("status").eqNullSafe(F.lit(1)), 1)).alias("error_count")
+    )
+    base = folded.groupBy(*keys).agg(
+        F.sum("count").alias("count"), F.sum("error_count").alias("error_count"), F.min("duration_ns").alias("min_duration"),
+        F.max("duration_ns").alias("max_duration"), F.sum(F.col("duration_ns") * n).alias("sum_duration"),
     )
     picks = {f"p{p}_duration": (lambda n, p=p: rollup_index(n, p)) for p in (50, 90, 95, 99)}
-    ranks = ranked_values(rows, keys, "duration_ns", picks).withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = [base[k].eqNullSafe(ranks[f"__{k}"]) for k in keys]
-    return base.join(ranks, on, "left").drop(*[f"__{k}" for k in keys])
+    ranks = values_at_ranks(folded.where("duration_ns IS NOT NULL"), keys, "duration_ns", "count", picks)
+    return joined(base, ranks, keys, "left")
 
 
 def metric_rollup(points: DataFrame, width_s: int) -> DataFrame:

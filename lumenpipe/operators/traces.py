@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import catalog as C
 from . import hierarchy
 from .shared import hex_id, parent_id
 
@@ -31,22 +32,46 @@ def matching_traces(spans: DataFrame, condition: Column) -> DataFrame:
     return trace_summary(spans).join(hits.where("__hit"), F.col("trace_id") == F.col("__trace"), "left_semi")
 
 
-def span_matches(text: str | None = None, errors_only: bool = False, http_class: int | None = None) -> Column:
-    """Filter of a span: error status, a text in name, service, attribute keys or values, and the class of the HTTP status."""
+def span_matches(
+    spans: DataFrame, text: str | None = None, errors_only: bool = False, http_class: int | None = None, service: str = "service"
+) -> Column:
+    """Filter of the spans: error status, a text, and the class of the HTTP status.
+
+    The text is looked for, ignoring case, in the name, the service (column ``service`` where it is there, and the span's own attribute), and in the
+    key or value of every attribute, promoted (by its dotted key) or not. Columns that the spans lack match nothing.
+    """
     cond = F.lit(True)
     if errors_only:
         cond = cond & (F.col("status") == 2)
     if text:
-        low = F.lit(text.lower())
-        fields = [F.coalesce(F.contains(F.lower(F.col(c)), low), F.lit(False)) for c in ("name", "service_name_attr")]
-        anywhere = F.coalesce(F.lower(F.to_json("_overflow_attrs")), F.lit(""))
-        cond = cond & (fields[0] | fields[1] | F.contains(anywhere, low))
+        low = text.lower()
+        has = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(low)), F.lit(False))
+        found = F.lit(False)
+        for c in ("name", service):
+            if c in spans.columns:
+                found = found | has(F.col(c))
+        for column, key in C.PROMOTED_COLUMNS.items():
+            if column in spans.columns:
+                found = found | (F.col(column).isNotNull() if low in key else has(F.col(column).cast("string")))
+        if "_overflow_attrs" in spans.columns:
+            for side in (F.map_keys, F.map_values):
+                found = found | F.coalesce(F.exists(side("_overflow_attrs"), has), F.lit(False))
+        cond = cond & found
     if http_class is not None:
         code = F.col("http_response_status_code")
         cond = cond & (code >= http_class * 100) & (code < (http_class + 1) * 100)
     return cond
 
 
+SORTS = {"start": ("start_time_unix_nano", True), "duration": ("duration_ns", True), "service": ("service", False)}
+
+
+def sorted_traces(summaries: DataFrame, by: str = "start") -> DataFrame:
+    """Summaries with the latest start or the longest duration first, or by service; ties by trace id."""
+    column, down = SORTS[by]
+    return summaries.orderBy(F.desc(column) if down else F.asc(column), "trace_id")
+
+
 def span_tree(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, depth, sort_path): ordering by sort_path is the pre-order walk, children by start time.
 

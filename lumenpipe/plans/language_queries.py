@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..operators import flamegraph, health, histograms, metric_groups, patterns, rollups, traces
+from ..operators import flamegraph, health, histograms, metric_groups, patterns, rollups, series, traces
 from ..sources import adapters
 
 #: The clock of the queries: shortly after the last row of the driver's spans.
 NOW = 1741602000000000000
-A, B = 1741046400000000000, 1741305600000000000
-_AT = f"between({A}, {B})"
-_IN = f"start_time_unix_nano BETWEEN {A} AND {B}"
-_INL = f"time_unix_nano BETWEEN {A} AND {B}"
-#: A range that covers every row, also those of an unset clock (time 0).
+#: A range that covers every row, also those of an unset clock (time 0); its SQL has no filter.
 ALL_A, ALL_B = 0, 4 * 10**18
-_ALL = f"between({ALL_A}, {ALL_B})"
+_AT = f"between({ALL_A}, {ALL_B})"
+_IN = _INL = "true"
+#: Three days, for the queries whose point is the time scope.
+A, B = 1741046400000000000, 1741305600000000000
+_WINDOW = f"between({A}, {B})"
+_INW = f"start_time_unix_nano BETWEEN {A} AND {B}"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,22 +30,13 @@ def engine(spark: SparkSession, d: str) -> Engine:
     return Engine(spark, adapters.signals(spark, d), now_ns=NOW)
 
 
-def _unfiltered(sql: str) -> str:
-    """The SQL without its time scopes."""
-    return re.sub(r"\b(start_)?time_unix_nano BETWEEN -?\d+ AND -?\d+", "true", sql)
-
-
-def _text(name: str, text: str, sql: str, aux: str | None = None, whole: bool = True) -> None:
-    """Register a query; one over A..B also as ``<name>_whole`` over every row, unless the time scope is its point."""
-
+def _text(name: str, text: str, sql: str, aux: str | None = None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         result = engine(spark, d).query(text)
         return result.primary if aux is None else result.aux[aux]
 
     run.__name__ = name
     QUERIES[name], SQL[name] = run, sql
-    if whole and _AT in text:
-        _text(f"{name}_whole", text.replace(_AT, _ALL), _unfiltered(sql), aux)
 
 
 def _op(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -54,6 +45,24 @@ def _op(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | Non
         SQL[name] = sql
 
 
+def _marked(name: str, *columns: str) -> None:
+    """Make NaN explicit in a registered query's result: ``x`` becomes null, ``x_nan`` true."""
+    inner = QUERIES[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = inner(spark, d)
+        for c in columns:
+            out = out.withColumn(f"{c}_nan", F.isnan(c)).withColumn(c, F.nanvl(c, F.lit(None).cast("double")))
+        return out
+
+    QUERIES[name] = run
+
+
+def _nan_sql(sql: str, *columns: str) -> str:
+    cells = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}, coalesce(isnan({c}), false) AS {c}_nan" for c in columns)
+    return f"SELECT * EXCLUDE ({', '.join(columns)}), {cells} FROM ({sql})"
+
+
 # scans and time scopes
 _text("s1_scan_metrics", "metrics last 1h", "SELECT * FROM metrics")
 _text("s2_last", "logs last 2d | select log_id, time_unix_nano",
@@ -69,8 +78,8 @@ _op("s3_today_last_day",
     f"SELECT count(*) AS n FROM spans WHERE start_time_unix_nano BETWEEN {_MID_LAST} AND {_MID_LAST + 86400 * 10**9}")
 _text("s3_yesterday", "spans yesterday | group by {} { count() as n }",
       f"SELECT count(*) AS n FROM spans WHERE start_time_unix_nano BETWEEN {_MID - 86400 * 10**9} AND {_MID}")
-_text("s4_between", f"spans {_AT} | group by {{ kind }} {{ count() as n, sum(duration_ns) as total }}",
-      f"SELECT kind, count(*) AS n, CAST(sum(duration_ns) AS BIGINT) AS total FROM spans WHERE {_IN} GROUP BY 1", whole=False)
+_text("s4_between", f"spans {_WINDOW} | group by {{ kind }} {{ count() as n, sum(duration_ns) as total }}",
+      f"SELECT kind, count(*) AS n, CAST(sum(duration_ns) AS BIGINT) AS total FROM spans WHERE {_INW} GROUP BY 1")
 _text("s6_lookup_resource", "resource(612398678)", "SELECT * FROM resources WHERE resource_id = 612398678 LIMIT 1")
 _text("s12_raw_scan", "scopes last 1h", "SELECT * FROM scopes")
 
@@ -91,7 +100,8 @@ _text("compute_whole", f"spans {_AT} | compute duration_ns / 1000 as us, us * 2
       "| select span_id, us, twice, rest",
       f"SELECT span_id, duration_ns // 1000 AS us, duration_ns // 1000 * 2 + 1 AS twice, duration_ns % 7 AS rest FROM spans WHERE {_IN}")
 _text("compute_float", f"datapoints {_AT} | compute value / 4 as q, value * 0.5 as h | select series_id, q, h",
-      f"SELECT series_id, value / 4 AS q, value * 0.5 AS h FROM datapoints WHERE {_INL}")
+      _nan_sql(f"SELECT series_id, value / 4 AS q, value * 0.5 AS h FROM datapoints WHERE {_INL}", "q", "h"))
+_marked("compute_float", "q", "h")
 _text("last_stage", "logs last 7d | last 3d | group by {} { count() as n }",
       f"SELECT count(*) AS n FROM logs WHERE time_unix_nano BETWEEN {NOW - 3 * 86400 * 10**9} AND {NOW}")
 _text("scoped_fields", f"spans {_AT} | where resource.service_name == 'cartwheel' | group by {{ scope.name as lib }} {{ count() as n }}",
@@ -143,8 +153,9 @@ _text("g16_service_of_spans", f"spans {_AT} | group by {{ service_name }} {{ cou
 _text(
     "e_functions",
     f"datapoints {_AT} | compute abs(value) as a, round(value) as r, ceil(value) as c, floor(value) as f | select series_id, a, r, c, f",
-    f"SELECT series_id, abs(value) AS a, round(value) AS r, ceil(value) AS c, floor(value) AS f FROM datapoints WHERE {_INL}",
+    _nan_sql(f"SELECT series_id, abs(value) AS a, round(value) AS r, ceil(value) AS c, floor(value) AS f FROM datapoints WHERE {_INL}", "a", "r", "c", "f"),
 )
+_marked("e_functions", "a", "r", "c", "f")
 _text(
     "e_time_and_text",
     f"spans {_AT} | compute to_millis(duration_ns) as ms, to_seconds(ts()) as s, len(name) as l, lower(name) as lo, "
@@ -175,23 +186,29 @@ _text("a10_a11_first_last", f"logs {_AT} | group by {{ service_name }} {{ first(
 _text("a12_error_rate", f"spans {_AT} | group by {{ kind }} {{ error_rate() as r, error_rate() where duration_ns > 50000000 as slow }}",
       f"SELECT kind, avg(CASE WHEN status = 2 THEN 1.0 ELSE 0.0 END) AS r, avg(CASE WHEN status = 2 THEN 1.0 ELSE 0.0 END) "
       f"FILTER (WHERE duration_ns > 50000000) AS slow FROM spans WHERE {_IN} GROUP BY 1")
-_text("a13_throughput", f"spans {_AT} | group by {{ name }} {{ throughput() as per_s }}",
-      f"SELECT name, count(*) / {(B - A) / 1e9} AS per_s FROM spans WHERE {_IN} GROUP BY 1", whole=False)
-_text("a13_throughput_whole", f"spans {_ALL} | group by {{ name }} {{ throughput() as per_s }} | compute per_s * 1000000000 as per_s",
+_text("a13_throughput", f"spans {_AT} | group by {{ name }} {{ throughput() as per_s }} | compute per_s * 1000000000 as per_s",
       f"SELECT name, count(*) / {(ALL_B - ALL_A) / 1e9} * 1000000000 AS per_s FROM spans GROUP BY 1")
+_text("a13_throughput_window", f"spans {_WINDOW} | group by {{ name }} {{ throughput() as per_s }}",
+      f"SELECT name, count(*) / {(B - A) / 1e9} AS per_s FROM spans WHERE {_INW} GROUP BY 1")
 
 
-def a14_heatmap(spark: SparkSession, d: str, at: str = _AT) -> DataFrame:
-    out = engine(spark, d).query(f"spans {at} | group by {{ ts() bin 6h as bucket }} {{ heatmap(duration_ns) as h }}").primary
+def a14_heatmap(spark: SparkSession, d: str) -> DataFrame:
+    out = engine(spark, d).query(f"spans {_AT} | group by {{ ts() bin 6h as bucket }} {{ heatmap(duration_ns) as h }}").primary
     return out.select("bucket", F.explode("h").alias("c")).select("bucket", "c.le", "c.count")
 
 
 _op("a14_heatmap", a14_heatmap,
     f"SELECT start_time_unix_nano // 21600000000000 * 21600000000000 AS bucket, "
     f"CASE WHEN duration_ns > 0 THEN pow(2.0, ceil(log2(duration_ns))) ELSE 0.0 END AS le, count(*) AS count FROM spans WHERE {_IN} GROUP BY 1, 2")
-_op("a14_heatmap_whole", lambda s, d: a14_heatmap(s, d, _ALL), _unfiltered(SQL["a14_heatmap"]))
-_op("a15_sample_whole", lambda s, d: engine(s, d).query(f"logs {_ALL} | group by {{ service_name }} {{ sample(2) as rows, count() as n }}").primary)
-_op("a15_sample", lambda s, d: engine(s, d).query(f"logs {_AT} | group by {{ service_name }} {{ sample(2) as rows, count() as n }}").primary)
+def a15_sample(spark: SparkSession, d: str) -> DataFrame:
+    out = engine(spark, d).query(f"logs {_AT} | group by {{ service_name }} {{ sample(20) as rows, count() as n }}").primary
+    ids = F.array_sort(F.transform("rows", lambda r: F.get_json_object(r, "$.log_id")))
+    return out.select("service_name", "n", F.array_join(ids, ",").alias("ids"))
+
+
+_op("a15_sample", a15_sample,
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY service_name ORDER BY md5(log_id)) AS k, count(*) OVER (PARTITION BY service_name) AS n FROM logs)
+      SELECT service_name, any_value(n) AS n, array_to_string(list_sort(list(log_id)), ',') AS ids FROM r WHERE k <= 20 GROUP BY 1""")
 _text("a16_filtered", f"spans {_AT} | group by {{}} {{ count() where status == ERROR as errors, count() as total, max(duration_ns) where kind == SERVER as m }}",
       f"SELECT count(*) FILTER (WHERE status = 2) AS errors, count(*) AS total, max(duration_ns) FILTER (WHERE kind = 2) AS m FROM spans WHERE {_IN}")
 _text("a17_bin", f"logs {_AT} | group by {{ ts() bin 5m as b, severity_text }} {{ count() as n }}",
@@ -230,10 +247,15 @@ _text("j2b_nested_merge", "samples between(0, 4000000000000000000) | where value
       WHERE k IN (SELECT l_suppkey FROM lineitem WHERE round(l_quantity) > 49) GROUP BY frame_id, function_name""", "frames")
 
 # patterns
-_MASKED = (
-    "regexp_replace(regexp_replace(regexp_replace(body, '\"[^\"]*\"', '<text>', 'g'), '\\b0[xX][0-9a-fA-F]+\\b', '<hex>', 'g'), "
-    "'[0-9]+(\\.[0-9]+)*', '<num>', 'g')"
-)
+_MASKED = "body"
+for _mask, _sign in (
+    ("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"), ('"[^"]*"', "<text>"), ("\\b0[xX][0-9a-fA-F]+\\b", "<hex>"),
+):
+    _MASKED = f"regexp_replace({_MASKED}, '{_mask}', '{_sign}', 'g')"
+# DuckDB's patterns have no look-ahead: long runs of hexadecimal digits are taken out one alternative at a time
+_MASKED = f"regexp_replace({_MASKED}, '\\b([0-9]+[a-fA-F][0-9a-fA-F]*|[a-fA-F]+[0-9][0-9a-fA-F]*)\\b', '\x01\\1\x02', 'g')"
+_MASKED = f"regexp_replace(regexp_replace({_MASKED}, '\x01[0-9a-fA-F]{{8,}}\x02', '<hex>', 'g'), '[\x01\x02]', '', 'g')"
+_MASKED = f"regexp_replace({_MASKED}, '[0-9]+(\\.[0-9]+)*', '<num>', 'g')"
 _text("t1_patterns", f"logs {_AT} | patterns body", f"""SELECT {_MASKED} AS pattern, count(*) AS count,
       arg_min(body, {{'t': time_unix_nano, 'b': body}}) AS example, min(time_unix_nano) AS first_seen, max(time_unix_nano) AS last_seen
       FROM logs WHERE {_INL} GROUP BY 1""")
@@ -325,10 +347,19 @@ _op("d9_trace_summary", lambda s, d: traces.trace_summary(_t(s, d, "spans")),
     f"""SELECT {_TID.format('trace_id')} AS trace_id, arg_min(name, {{'p': replace({_TID.format("coalesce(parent_span_id, '')")}, '0', '') <> '',
         't': start_time_unix_nano, 's': {_TID.format('span_id')}}}) AS root_name, count(*) AS span_count, bool_or(coalesce(status = 2, false)) AS has_error,
         min(start_time_unix_nano) AS start_time_unix_nano, max(end_time_unix_nano) - min(start_time_unix_nano) AS duration_ns FROM spans GROUP BY 1""")
-_op("d10_trace_filter", lambda s, d: traces.matching_traces(_t(s, d, "spans"), traces.span_matches("basket", errors_only=True)).select("trace_id", "span_count"),
-    f"""SELECT {_TID.format('trace_id')} AS trace_id, count(*) AS span_count FROM spans GROUP BY 1 HAVING bool_or(coalesce(status = 2 AND (
-        contains(lower(name), 'basket') OR coalesce(contains(lower(service_name_attr), 'basket'), false)
-        OR coalesce(contains(lower(CAST(_overflow_attrs AS VARCHAR)), 'basket'), false)), false))""")
+_PROMOTED_TEXT = "http_request_method http_route db_system messaging_system error_type service_name_attr deployment_environment_name k8s_pod_name".split()
+_D10 = " OR ".join(f"coalesce(contains(lower({c}), '{{0}}'), false)" for c in ("name", "service", *_PROMOTED_TEXT)) + (
+    " OR coalesce(contains(CAST(http_response_status_code AS VARCHAR), '{0}'), false)"
+    + "".join(f" OR (contains('{c.replace('_attr', '').replace('_', '.') if c in ('service_name_attr', 'k8s_pod_name') else c.replace('_', '.')}', '{{0}}') AND {c} IS NOT NULL)" for c in _PROMOTED_TEXT)
+    + " OR (contains('http.response.status_code', '{0}') AND http_response_status_code IS NOT NULL)"
+    " OR coalesce(len(list_filter(map_keys(_overflow_attrs), lambda k: contains(lower(k), '{0}'))) > 0, false)"
+    " OR coalesce(len(list_filter(map_values(_overflow_attrs), lambda k: contains(lower(k), '{0}'))) > 0, false)"
+)
+for _w, _errors in (("basket", True), ("route", False), ("wheel", True)):
+    _op(f"d10_trace_filter_{_w}",
+        lambda s, d, w=_w, e=_errors: traces.matching_traces(sp := _served(s, d), traces.span_matches(sp, w, errors_only=e)).select("trace_id", "span_count"),
+        f"""WITH {_SERVED} SELECT {_TID.format('trace_id')} AS trace_id, count(*) AS span_count FROM v GROUP BY 1
+            HAVING bool_or(coalesce({"status = 2 AND " if _errors else ""}({_D10.format(_w)}), false))""")
 _op("d11_span_tree", lambda s, d: traces.span_tree(_t(s, d, "spans")),
     f"""WITH RECURSIVE n AS (SELECT {_TID.format('trace_id')} AS t, {_TID.format('span_id')} AS s, wal_seq, coalesce(start_time_unix_nano, 0) AS st,
         {_TID.format("coalesce(parent_span_id, '')")} AS p0 FROM spans),
@@ -354,7 +385,7 @@ _op("d12_flamegraph", d12_flamegraph,
     SELECT r || '/' || n || '/' || s, s, 2, r || '/' || n, v, v FROM f""")
 
 
-def _health(s: SparkSession, d: str, a: int = A, b: int = B) -> DataFrame:
+def _health(s: SparkSession, d: str, a: int = ALL_A, b: int = ALL_B) -> DataFrame:
     spans = _served(s, d).where(F.col("start_time_unix_nano").between(a, b))
     logs = _t(s, d, "logs").where(F.col("time_unix_nano").between(a, b))
     return health.health_statistics(spans, logs, (b - a) / 60e9)
@@ -374,13 +405,24 @@ def _health_sql(a: int, b: int) -> str:
       {", ".join(f"l[CAST(floor((len(l) - 1) * {p / 100.0} + 0.5) AS BIGINT) + 1] AS latency_p{p}_ns" for p in (50, 95, 99))} FROM j"""
 
 
-_HEALTH = _health_sql(A, B)
-_HEALTH_WHOLE = _unfiltered(_health_sql(ALL_A, ALL_B))
+_HEALTH = _health_sql(ALL_A, ALL_B)
 _op("d15_health_statistics", _health, _HEALTH)
-_op("d15_health_statistics_whole", lambda s, d: _health(s, d, ALL_A, ALL_B), _HEALTH_WHOLE)
 _op("d16_health_metrics", lambda s, d: health.health_metrics(_health(s, d)),
     f"WITH s AS ({_HEALTH}) " + " UNION ALL ".join(f"SELECT service, 'health.{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM s" for m in health.METRICS))
-_op("d16_health_metrics_whole", lambda s, d: health.health_metrics(_health(s, d, ALL_A, ALL_B)), SQL["d16_health_metrics"].replace(_HEALTH, _HEALTH_WHOLE))
+_ENDS = "(CAST(floor({t} // 60000000000) AS BIGINT) + unnest(range(1, 6))) * 60000000000 AS window_end"
+_op("d16_health_series", lambda s, d: health.health_series(_served(s, d), _t(s, d, "logs")),
+    f"""WITH {_SERVED}, w AS (SELECT *, {_ENDS.format(t="start_time_unix_nano")} FROM v),
+    lw AS (SELECT service_name AS service, severity_number, {_ENDS.format(t="time_unix_nano")} FROM logs),
+    a AS (SELECT service, window_end, count(*) AS n, count(*) FILTER (WHERE status = 2) AS e, count(*) FILTER (WHERE http_response_status_code BETWEEN 200 AND 599) AS h,
+      {", ".join(f"count(*) FILTER (WHERE http_response_status_code BETWEEN {k}00 AND {k}99) AS c{k}" for k in (2, 3, 4, 5))}, list_sort(list(duration_ns)) AS l
+      FROM w GROUP BY 1, 2),
+    b AS (SELECT service, window_end, count(*) AS bad FROM lw WHERE severity_number >= 17 GROUP BY 1, 2),
+    j AS (SELECT service, window_end, coalesce(n, 0) AS n, coalesce(e, 0) AS e, coalesce(h, 0) AS h, c2, c3, c4, c5, l, coalesce(bad, 0) AS bad
+      FROM a FULL JOIN b USING (service, window_end)),
+    s AS (SELECT service, window_end, CASE WHEN n > 0 THEN e / n ELSE 0.0 END AS span_error_rate, CASE WHEN h > 0 THEN (c4 + c5) / h ELSE 0.0 END AS http_error_rate,
+      {", ".join(f"CASE WHEN h > 0 THEN c{k} / h ELSE 0.0 END AS http_{k}xx_rate" for k in (2, 3, 4, 5))}, n / 5.0 AS throughput_per_minute,
+      bad / 5.0 AS error_logs_per_minute, {", ".join(f"l[CAST(floor((len(l) - 1) * {p / 100.0} + 0.5) AS BIGINT) + 1] AS latency_p{p}_ns" for p in (50, 95))} FROM j)
+    """ + " UNION ALL ".join(f"SELECT service, window_end, 'health.{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM s" for m in health.METRICS))
 
 
 def _score(col: str, w: float, e: float) -> str:
@@ -396,14 +438,12 @@ def _health_scores_sql() -> str:
 
 
 _op("d17_health_scores", lambda s, d: health.health_scores(_health(s, d), health.rules_frame(s)), _health_scores_sql())
-_op("d17_health_scores_whole", lambda s, d: health.health_scores(_health(s, d, ALL_A, ALL_B), health.rules_frame(s)),
-    _health_scores_sql().replace(_HEALTH, _HEALTH_WHOLE))
 _DAY = 86400 * 10**9
-_op("d25_health_feed", lambda s, d: health.health_feed(_served(s, d), _t(s, d, "logs"), A, B, _DAY),
-    f"WITH n AS ({_health_sql(A, B)}), p AS ({_health_sql(A - _DAY, B - _DAY)}) SELECT service, n.* EXCLUDE (service), "
+_op("d25_health_feed", lambda s, d: health.health_feed(_served(s, d), _t(s, d, "logs"), ALL_A, ALL_B, _DAY),
+    f"WITH n AS ({_health_sql(ALL_A, ALL_B)}), p AS ({_health_sql(ALL_A - _DAY, ALL_B - _DAY)}) SELECT service, n.* EXCLUDE (service), "
     "COLUMNS(p.* EXCLUDE (service)) AS 'previous_\\0' FROM n FULL JOIN p USING (service)")
-_op("d25_health_feed_whole", lambda s, d: health.health_feed(_served(s, d), _t(s, d, "logs"), ALL_A, ALL_B, _DAY),
-    f"WITH n AS ({_HEALTH_WHOLE}), p AS ({_HEALTH_WHOLE}) SELECT service, n.* EXCLUDE (service), "
+_op("d25_health_feed_window", lambda s, d: health.health_feed(_served(s, d), _t(s, d, "logs"), A, B, B - A),
+    f"WITH n AS ({_health_sql(A, B)}), p AS ({_health_sql(2 * A - B, A)}) SELECT service, n.* EXCLUDE (service), "
     "COLUMNS(p.* EXCLUDE (service)) AS 'previous_\\0' FROM n FULL JOIN p USING (service)")
 _op("d26_histogram_activity", lambda s, d: histograms.activity(adapters.event_histograms(_t(s, d, "events")), ["metric_id"]).select("metric_id", "time_unix_nano", "highest_bucket"),
     """WITH h AS (SELECT event_type AS metric_id, epoch_ns(ts) // 86400000000000 * 86400000000000 AS t,
@@ -415,26 +455,32 @@ _op("d26_histogram_activity", lambda s, d: histograms.activity(adapters.event_hi
 
 
 def _listed(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: f(_t(s, d, "metrics")).withColumn("members", F.array_join("members", ","))
+    return lambda s, d: f(adapters.metric_variants(_t(s, d, "metrics"))).withColumn("members", F.array_join("members", ","))
 
 
+_VARIANTS = f"metrics_ AS (SELECT * EXCLUDE (name), name || unnest({adapters.VARIANTS}) AS name FROM metrics)"
 _SUFFIX = ", ".join(f"'{x}'" for x in metric_groups.STATISTICAL)
 _op("d19_statistical_groups", _listed(metric_groups.statistical_groups),
-    f"""SELECT resource_id, metric_type, unit, regexp_extract(name, '^(.*)\\.([^.]*)$', 1) AS prefix, array_to_string(list_sort(list(DISTINCT name)), ',') AS members
-      FROM metrics WHERE regexp_extract(name, '^(.*)\\.([^.]*)$', 1) <> '' AND regexp_extract(name, '^(.*)\\.([^.]*)$', 2) IN ({_SUFFIX})
+    f"""WITH {_VARIANTS} SELECT resource_id, metric_type, unit, regexp_extract(name, '^(.*)\\.([^.]*)$', 1) AS prefix, array_to_string(list_sort(list(DISTINCT name)), ',') AS members
+      FROM metrics_ WHERE regexp_extract(name, '^(.*)\\.([^.]*)$', 1) <> '' AND regexp_extract(name, '^(.*)\\.([^.]*)$', 2) IN ({_SUFFIX})
       GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT name) BETWEEN 2 AND 20""")
 _op("d20_histogram_families", _listed(metric_groups.histogram_families),
-    """WITH r AS (SELECT resource_id, name, regexp_extract(name, '^(.*)(_bucket|_count|_sum)$', 1) AS base, regexp_extract(name, '^(.*)(_bucket|_count|_sum)$', 2) AS part FROM metrics)
+    f"""WITH {_VARIANTS}, r AS (SELECT resource_id, name, regexp_extract(name, '^(.*)(_bucket|_count|_sum)$', 1) AS base, regexp_extract(name, '^(.*)(_bucket|_count|_sum)$', 2) AS part FROM metrics_)
       SELECT resource_id, base, array_to_string(list_sort(list(DISTINCT name)), ',') AS members FROM r WHERE base <> ''
       GROUP BY 1, 2 HAVING bool_or(part = '_count') AND bool_or(part = '_sum')""")
 _op("d21_namespace_groups", _listed(metric_groups.namespace_groups),
-    """WITH r AS (SELECT resource_id, name, string_split(name, '.') AS p, unnest([3, 4]) AS k FROM metrics)
+    f"""WITH {_VARIANTS}, r AS (SELECT resource_id, name, string_split(name, '.') AS p, unnest([3, 4]) AS k FROM metrics_)
       SELECT resource_id, array_to_string(p[1:k], '.') AS namespace, array_to_string(list_sort(list(DISTINCT name)), ',') AS members FROM r WHERE len(p) > k
       GROUP BY 1, 2 HAVING count(DISTINCT name) BETWEEN 2 AND 10""")
 _op("d22_metric_hierarchy", lambda s, d: metric_groups.hierarchy(_t(s, d, "metrics")),
     """SELECT DISTINCT array_to_string(p[1:k], '.') AS prefix, name FROM (SELECT name, string_split(name, '.') AS p, unnest(range(1, len(string_split(name, '.')))) AS k FROM metrics)""")
-_op("d24_series_lookup", lambda s, d: _t(s, d, "datapoints").join(
-        _t(s, d, "series").where((F.col("metric_name") == "request.total") & (F.get_json_object("attributes", "$.zone") == "z1")).select("series_id"),
-        "series_id", "left_semi"),
-    """SELECT * FROM datapoints WHERE series_id IN (SELECT series_id FROM series WHERE metric_name = 'request.total' AND json_extract_string(attributes, '$.zone') = 'z1')""")
+def series_index(s: SparkSession, d: str) -> DataFrame:
+    """The driver's series as an index: ids stay the driver's, labels are the attributes."""
+    return _t(s, d, "series").select("series_id", "metric_name", F.from_json("attributes", "map<string,string>").alias("labels"))
+
+
+_op("d24_series_lookup", lambda s, d: series.points_of(_t(s, d, "datapoints"), series_index(s, d), "request.total", ALL_A, ALL_B, {"zone": "z1"}),
+    _nan_sql("""SELECT * FROM datapoints WHERE series_id IN (SELECT series_id FROM series
+      WHERE metric_name = 'request.total' AND json_extract_string(attributes, '$.zone') = 'z1')""", "value"))
+_marked("d24_series_lookup", "value")
 _op("t1_log_patterns", lambda s, d: patterns.log_patterns(_t(s, d, "logs")).select("pattern", "count"), f"SELECT {_MASKED} AS pattern, count(*) AS count FROM logs GROUP BY 1")

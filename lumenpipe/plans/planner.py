@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.attributes import overflow_text
 from ..functions.ranks import joined, values_at_ranks
 from ..operators.patterns import log_patterns
 from ..operators.shared import fresh, int_div
@@ -179,9 +180,8 @@ class Planner:
         ident = C.ID_COLUMN.get(st.signal)
         order = [F.col(c) for c in (time, ident) if c in df.columns]
         order.append(F.xxhash64(*[F.to_json(c) if isinstance(df.schema[c].dataType, (T.MapType,)) else F.col(c) for c in df.columns]))
-        rank = fresh(df, "rank")
-        first = df.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-        return first.where(F.col(rank) == 1).select(*st.df.columns)
+        first = df.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*st.df.columns), F.struct(*order)).alias("__row"))
+        return first.select("__row.*")
 
     # fields
     def time(self, st: _State) -> Typed:
@@ -211,7 +211,7 @@ class Planner:
                 value = F.element_at("_overflow_attrs", F.lit(f.name))
                 if promoted and f.name != promoted:
                     value = F.coalesce(value, F.element_at("_overflow_attrs", F.lit(promoted)))
-                text = F.regexp_replace(value, '^"(.*)"$', "$1")
+                text = overflow_text(value)
                 if promoted and isinstance(C.PROMOTED[C.PROMOTED_COLUMNS[promoted]], T.LongType):
                     return Typed(text.try_cast("bigint"), T.LongType(), field_name=f.name)
                 return Typed(text, T.StringType(), field_name=f.name)
@@ -438,8 +438,8 @@ class Planner:
         if a.name in ("first", "last"):
             time, ident = C.TIME_COLUMN.get(st.signal), C.ID_COLUMN.get(st.signal)
             order = [c for c in (time, ident) if c in st.df.columns]
-            if time not in order:
-                return F.first(kept(x.col), ignorenulls=cond is not None) if a.name == "first" else F.last(kept(x.col))
+            if not order:  # no time and no id: the order of the rows' own hash
+                order = [F.xxhash64(*[F.map_entries(c) if isinstance(st.df.schema[c].dataType, T.MapType) else F.col(c) for c in st.df.columns])]
             pick = F.min_by if a.name == "first" else F.max_by
             return pick(x.col, kept(F.struct(*order)))
         n = self.number(x)
@@ -478,7 +478,7 @@ class Planner:
         return both.select(*names, *out)
 
     def spread(self, st: _State, a: A.Agg, keys: list[Column], names: list[str]) -> DataFrame:
-        """heatmap(e): counts by power-of-two bucket; sample(n): n rows as JSON, chosen by hash."""
+        """heatmap(e): counts by power-of-two bucket; sample(n): n rows as JSON, by the least md5 of their id (of the row if there is none)."""
         df = st.df if a.pred is None else st.df.where(self.pred(st, a.pred))
         if a.name == "heatmap":
             n = self.number(self.expr(st, a.arg)).col.cast("double")
@@ -486,9 +486,14 @@ class Planner:
             cells = df.groupBy(*keys, level.alias("__le")).agg(F.count(F.lit(1)).alias("__n")).where("__le IS NOT NULL")
             cell = F.struct(F.col("__le").alias("le"), F.col("__n").alias("count"))
             return cells.groupBy(*names).agg(F.sort_array(F.collect_list(cell)).alias(a.alias))
-        rows = df.select(*keys, F.to_json(F.struct(*st.df.columns)).alias("__row"))
-        rank = Window.partitionBy(*names).orderBy(F.xxhash64("__row"), "__row")
-        some = rows.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= a.arg.value)
+        ident = C.ID_COLUMN.get(st.signal)
+        rows = df.select(*keys, F.to_json(F.struct(*st.df.columns)).alias("__row"), *([F.col(ident).cast("string").alias("__id")] if ident in df.columns else []))
+        rows = rows.withColumn("__hash", F.md5(F.coalesce(F.col("__id"), F.lit("")) if ident in df.columns else F.col("__row")))
+        # the n least hashes of every hash class first, so that no task ranks a whole group
+        some = rows.withColumn("__class", F.substring("__hash", -2, 2))
+        for part in (["__class"], []):
+            rank = Window.partitionBy(*names, *part).orderBy("__hash", "__row")
+            some = some.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= a.arg.value)
         return some.groupBy(*names).agg(F.sort_array(F.collect_list("__row")).alias(a.alias))
 
 

@@ -68,6 +68,15 @@ def geography_frames(supplier: DataFrame, nation: DataFrame, region: DataFrame)
     )
 
 
+#: What metric_variants appends to names: statistical last parts, parts of a histogram family, and deeper name spaces.
+VARIANTS = [".min", ".max", ".p99", "_bucket", "_count", "_sum", ".queue.wait.avg", ".queue.wait.ms", ".queue.depth.now"]
+
+
+def metric_variants(metrics: DataFrame) -> DataFrame:
+    """The metrics under each of the names that exporters derive from theirs."""
+    return metrics.withColumn("name", F.explode(F.array(*[F.concat("name", F.lit(v)) for v in VARIANTS])))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
     """Signal tables of a driver folder, read when a query needs them."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -184,3 +184,20 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = df._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(start_time_unix_nano)" in plan and "EqualTo(status,2)" in plan
     assert "ReadSchema: struct<span_id:string,status:smallint,start_time_unix_nano:bigint,duration_ns:bigint>" in plan
+
+
+def test_last_with_a_filter_and_no_time_column(spark):
+    from lumenpipe.engine import Engine
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "scope_id bigint, name string")
+    engine = Engine(spark, {"scopes": df}, now_ns=0)
+    row = engine.query("scopes last 1h | group by {} { first(name) where scope_id < 3 as f, last(name) where scope_id < 3 as l }").primary.first()
+    assert (row["f"], row["l"]) == ("a", "b")
+
+
+def test_overflow_text_resolves_escapes(spark):
+    from lumenpipe.engine import Engine
+
+    df = spark.createDataFrame([("s", {"a.b": '"say \\"hi\\" \\\\ there"'}), ("t", {"a.b": '"plain"'}), ("u", {"a.b": "7"})], "span_id string, _overflow_attrs map<string,string>")
+    rows = Engine(spark, {"span_links": df}, now_ns=0).query("span_links last 1h | select attr.a.b as v").primary.collect()
+    assert [r["v"] for r in rows] == ['say "hi" \\ there', "plain", "7"]
