@@ -1,10 +1,13 @@
 """Abusive, hateful or sexual content: cumulative-link ordinal regression on sparse text features.
 
 Severity grades come from the raters' votes: none, disputed, likely, agreed. One weight vector, shared by all
-ordered thresholds, scores a sentence; the grade probabilities are P(y <= k) = sigmoid(threshold_k - score). A
-document counts as its worst sentence: training alternates between fitting the weights and choosing
-the worst sentence of every document. The model is fitted on a bounded sample of labelled documents and
-then scores the whole text of every document.
+ordered thresholds, scores a sentence by its words and pairs of words; the grade probabilities are
+P(y <= k) = sigmoid(threshold_k - score). A document counts as its worst sentence: training alternates between
+fitting the weights and choosing the worst sentence of every document.
+
+There are no word lists. What the labelled sample is too small to show comes from the whole corpus: words that keep company, in
+other sentences, with sentences that the model finds bad. Their lift over all documents that have them is the mean of the
+weights' prior when the model is fitted again. Every text is brought into its normal form once, in a table; all passes read that.
 """
 
 from __future__ import annotations
@@ -12,166 +15,151 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.shared import BLANKS
+from ..operators.shared import BLANKS, materialize
 from .text import _DROP
 
 #: The labelled sample that the model is fitted on: at most so many documents, chosen by hash, none longer than this.
 MAX_LABELLED = 8_000
 MAX_CHARS = 50_000
-#: Grades of severity: none, disputed, likely, agreed.
-GRADES = 4
-#: Weight of a vote for a bad category where no passage scores above the usual clean document.
-DOUBT = 0.05
+#: Grades of severity: none, disputed, likely, agreed; the expected grade from which a document is reported.
+GRADES, REPORT = 4, 0.5
+#: Training: precision of the weights' prior, how much more of it a feature gets per share of documents that have it, turns of choosing the worst
+#: sentences, steps of the first and of later turns, and the weight of a bad vote where no sentence stands out from clean documents.
+PRECISION, COMMON, TURNS, STEPS, MORE, DOUBT = 1.4, 1500.0, 4, 100, 30, 0.05
+#: Words in at least this share of all documents are held back in training.
+COMMON_SHARE = 0.002
+#: Passes over the corpus for the company of words; documents (and share of the documents with bad sentences) that a word needs, documents
+#: without company that it is taken to have besides, and the range and weight of the logarithm of its lift.
+PASSES, LEAST, LEAST_SHARE, SMOOTH, LIFTS, TRUST = 3, 3, 0.002, 10.0, (0.7, 3.0), 0.7
+#: Score of a text without words: severity 0.
+NOTHING = -60.0
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 _LOOKALIKES = str.maketrans("аеорсухівкмнтѕјԁɡαεορτυικν", "aeopcyxibkmhtsjdgaeoptuikv")
 _SIGNS = str.maketrans("013457@$!|€", "oieastasiie")
 
-# Seed words by kind (en, de, es, fr). They only form shared features; their weights are learned.
-_SEED = {
-    "insult": "idiot moron stupid dumb fool clown imbecile cretin loser scum trash garbage filth filthy disgusting pathetic "
-    "worthless ugly fat bastard bitch asshole pig rat worm toad slug coward jerk freak dumbass retard spineless gutless brainless "
-    "dummkopf idiotin trottel dreck abschaum arschloch schwein penner versager hurensohn missgeburt miststück "
-    "imbécil idiota estúpido estúpida basura cerdo cerda inútil asqueroso gilipollas cabrón puta mierda "
-    "imbécile idiote stupide ordure porc déchet connard connasse salope merde abruti crétin sale",
-    "harm": "kill die hang drown burn beat smash bleed choke stab shoot strangle suicide rape hurt punch kick rot roof throat skull "
-    "töten umbringen sterben erhängen ertränken verrecken schlagen "
-    "matar morir ahorcar ahorcate romper quemar pegar muere mátate "
-    "tuer mourir pendre crever crève frapper casser brûler pends",
-    "hate": "vermin subhuman animals parasites inferior exterminate wipe deport plague rats cockroaches human kind breed "
-    "ungeziefer untermenschen ratten parasiten ausrotten vergasen "
-    "ratas plaga infrahumanos exterminar animales parásitos "
-    "vermine rats cafards parasites exterminer sous-hommes",
-    "sexual": "sex nude nudes naked horny porn pussy cock dick tits nipples panties thighs orgasm moan fuck fucking cum blowjob slut whore "
-    "undress lick sexy anal xxx milf cams uncensored "
-    "nackt nacktbilder ficken geil muschi schwanz titten brüste lecken "
-    "desnuda desnudo desnudas follar coño polla tetas caliente "
-    "nue nu nues baiser seins chatte bite sucer coquine",
-    "you": "you your yourself du dich dir dein deine tú te ti tu usted vous toi ton ta votre",
-    "forbid": "banned forbidden prohibited blocked filter filtered rule rules policy guideline moderation moderated reported removed "
-    "example quoted phrase phrases word words sentence never say allowed list blocklist term terms "
-    "verboten verbietet regel regeln wort satz gesperrt prohibido prohibida regla regla palabra frase norma "
-    "interdit interdite règle mot phrase bloqué",
-}
-
-
-def _fold(word: str) -> str:
-    """A word by its letters: without marks, look-alikes, signs for letters and repeated letters."""
-    if any(c.isalpha() for c in word):
-        word = word.translate(_SIGNS)
-    return re.sub(r"(.)\1+", r"\1", word)
-
-
-def _plain(text: str) -> str:
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFKD", text).translate(_DROP).lower().translate(_LOOKALIKES)
-
-
-_folded: dict[str, str] = {}
-
-
-def _token(word: str) -> str:
-    """A folded word, # for a number; words seen before are looked up (at most 300 000 of them)."""
-    found = _folded.get(word)
-    if found is None:
-        if len(_folded) >= 300_000:
-            _folded.clear()
-        found = _folded[word] = "#" if word.isdigit() else _fold(word)
-        found = _folded[word] = "#" if found.isdigit() else found
-    return found
-
-
-KINDS: dict[str, str] = {}
-for _kind, _list in _SEED.items():
-    for _w in _list.split():
-        KINDS.setdefault(_fold(_plain(_w)), _kind)
-
-_SENTENCE = re.compile(r"\n+|(?<=[.!?])\s+")
-_CLAUSE = re.compile(r"[,;:]\s+|\s[-–]\s")
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?![^\W_])")
-_MASKED = re.compile(r"[^\W\d_]+[*#]+[^\W\d_]+")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@$!|](?=[^\W_])|'(?=[^\W_]))*")
-
-
-def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s.strip()]
-
-
-def passages(text: str) -> Iterator[set[str]]:
-    """Features of the sentences, and of the clauses of those that neither quote nor speak of rules and words."""
-    for s in sentences(text):
-        whole = features(s)
-        yield whole
-        if "?quote" not in whole and "?forbid" not in whole:
-            clauses = _CLAUSE.split(s)
-            if len(clauses) > 1:
-                for c in clauses:
-                    if c.strip():
-                        yield features(c)
-
-
-def features(sentence: str) -> set[str]:
-    """Sparse binary features of a sentence: folded words, runs of two and three, and the kinds they are of."""
-    text = _plain(sentence)
-    text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
-    out = set()
-    if "*" in text or "#" in text:
-        for m in _MASKED.findall(text):
-            out.update(("*", f"*{m[0]}{m[-1]}"))
-    if '"' in text or "“" in text or "«" in text or "`" in text:
-        out.add("?quote")
-    tokens = [_token(w) for w in _TOKEN.findall(text)]
-    out.update(tokens)
-    for a, b in zip(tokens, tokens[1:]):
-        out.add(f"{a} {b}")
-    for a, b, c in zip(tokens, tokens[1:], tokens[2:]):
-        out.add(f"{a} {b} {c}")
-    kinds = {KINDS[t] for t in tokens if t in KINDS}
-    out.update(f"?{k}" for k in kinds)
-    bad = kinds - {"you", "forbid"}
-    if bad and "you" in kinds:
-        out.add("?bad+you")
-    if bad and ("forbid" in kinds or "?quote" in out):
-        out.add("?bad+forbid")
-    return out
-
-
-#: Training: precision of the weights' prior, how much more of it a feature gets per share of documents that have it, steps of the
-#: first and of later rounds, the weights of the kinds before any label is seen, and what words in less than ``RARE_SHARE`` add to the first guess.
-PRECISION, COMMON, STEPS, MORE = 1.4, 1500.0, 250, 100
-SEEDED = {"?insult": 1.0, "?sexual": 1.0, "?hate": 1.0, "?harm": 0.7, "?you": 0.3, "?bad+you": 1.0, "?bad+forbid": -2.0, "*": 1.0}
-RARE, RARE_SHARE = 0.05, 0.01
-#: Score of a text without words: severity 0.
-NOTHING = -60.0
-#: F1 that the cut may lie below the best one.
-PLATEAU = 0.005
+_TOKEN = re.compile(r"[^\W_]+(?:['@$!|*#]+[^\W_]+)*|\n|[.?!](?=\s)|[;:,](?=\s)|(?<=\s)[-–](?=\s)|[\"“”«»`„]")
+_REPEATED = re.compile(r"(.)\1+")
+
+
+def _folded(token: str) -> str:
+    """A word by its letters: without look-alikes, signs for letters and repeated letters; # for a number; a masked word by its ends."""
+    if token in "\n.?!":
+        return "\n"
+    if token in ";:,-–":
+        return ";"
+    if token in "\"“”«»`„":
+        return '"'
+    if "*" in token or "#" in token:
+        return f"*{token[0]}{token[-1]}"
+    if any(c.isalpha() for c in token):
+        token = token.translate(_SIGNS).replace("'", "")
+    token = _REPEATED.sub(r"\1", token)
+    return "#" if token.isdigit() else token
+
+
+class _Memo(dict):
+    """Folded tokens, looked up; at most 300 000 of them are kept."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= 300_000:
+            self.clear()
+        self[token] = out = _folded(token)
+        return out
+
+
+_memo = _Memo()
+
+
+def normal_form(text: str) -> str:
+    """Folded words of the whole text divided by blanks, its sentences by line ends, clauses by ;. Single letters in a row are one word."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(_DROP).translate(_LOOKALIKES).lower().translate(_LOOKALIKES)
+    else:
+        text = text.lower()
+    tokens = list(map(_memo.__getitem__, _TOKEN.findall(text)))
+    out, run = [], []
+    for t in tokens:
+        if len(t) == 1 and t.isalpha():
+            run.append(t)
+            continue
+        if run:
+            out.extend(["".join(run)] if len(run) > 2 else run)
+            run = []
+        out.append(t)
+    out.extend(["".join(run)] if len(run) > 2 else run)
+    return "\n".join(s for s in (x.strip() for x in " ".join(out).split("\n")) if s)
 
 
 class Model:
-    """Weights by feature, ordered thresholds, and the score from which a document is reported."""
-
-    def __init__(self, weights: dict[str, float], thresholds: list[float], cut: float | None = None) -> None:
-        self.weights, self.thresholds = weights, thresholds
-        self.cut = thresholds[1] if cut is None else cut
-
-    def score(self, text: str) -> float:
-        """Score of the worst passage; a text without words scores ``NOTHING``."""
-        get, worst = self.weights.get, -np.inf
-        for found in passages(text):
-            if found:
-                v = 0.0
-                for f in found:
-                    v += get(f, 0.0)
-                worst = max(worst, v)
-        return worst if worst > -np.inf else NOTHING
+    """Weights of words and of pairs of neighbours, and ordered thresholds."""
+
+    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float], thresholds: Sequence[float]) -> None:
+        self.words, self.pairs, self.thresholds = words, pairs, [float(t) for t in thresholds]
+        names = sorted({*words, *(w for p in pairs for w in p)})
+        self.ids = {w: i + 1 for i, w in enumerate(names)}  # 0: any other word
+        self.width = len(names) + 1
+        self.single = np.array([0.0] + [words.get(w, 0.0) for w in names])
+        keys = {self.ids[a] * self.width + self.ids[b]: v for (a, b), v in pairs.items()}
+        self.pair_keys = np.array(sorted(keys), dtype=np.int64)
+        self.pair_values = np.array([keys[k] for k in self.pair_keys.tolist()])
+
+    def sentence_scores(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Score of every sentence of the normal forms, in order, and the number of sentences of each.
+
+        A sentence counts as the worse of itself and its clauses; a feature counts once in each.
+        """
+        sentences, counts = [], np.zeros(len(forms), dtype=np.int64)
+        for i, form in enumerate(forms):
+            if form:
+                part = form.split("\n")
+                counts[i] = len(part)
+                sentences.extend(part)
+        if not sentences:
+            return np.zeros(0), counts
+        tokens = " \n ".join(sentences).split(" ")
+        get = self.ids.get
+        ids = np.fromiter((get(t, 0) for t in tokens), np.int64, len(tokens))
+        ends = np.fromiter((t == "\n" for t in tokens), bool, len(tokens))
+        sentence = np.cumsum(ends)
+        clause = np.cumsum(ends | np.fromiter((t == ";" for t in tokens), bool, len(tokens)))
+        some = np.flatnonzero(self.single[ids] != 0.0)
+        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0)) if len(self.pair_keys) else np.zeros(0, np.int64)  # the end of a sentence is no word
+        keys = ids[both] * self.width + ids[both + 1] if len(both) else both
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
+        hit = self.pair_keys[at] == keys if len(both) else np.zeros(0, bool)
+        both, at = both[hit], at[hit]
+
+        def totals(owner: np.ndarray) -> np.ndarray:
+            n = int(owner[-1]) + 1
+            found = np.unique(owner[some] * self.width + ids[some])
+            out = np.bincount(found // self.width, self.single[found % self.width], minlength=n)
+            if len(both):
+                one = np.flatnonzero(owner[both] == owner[both + 1])
+                found = np.unique(owner[both[one]] * len(self.pair_keys) + at[one])
+                out = out + np.bincount(found // len(self.pair_keys), self.pair_values[found % len(self.pair_keys)], minlength=n)
+            return out
+
+        whole, parts = totals(sentence), totals(clause)
+        first = np.flatnonzero(np.concatenate([[True], ends[:-1]]))  # where sentences begin
+        worst = np.maximum.reduceat(parts, clause[first])
+        return np.maximum(whole, worst), counts
+
+    def scores(self, forms: list[str]) -> np.ndarray:
+        """Score of the worst sentence of each normal form; one without words scores ``NOTHING``."""
+        totals, counts = self.sentence_scores(forms)
+        out = np.full(len(forms), NOTHING)
+        some = np.flatnonzero(counts)
+        if len(some):
+            out[some] = np.maximum.reduceat(totals, np.concatenate([[0], np.cumsum(counts[some])[:-1]]))
+        return out
 
     def severity(self, score: np.ndarray) -> np.ndarray:
         """Expected grade, the sum of P(y > k)."""
@@ -197,12 +185,11 @@ def fit_ordinal(
     Thresholds are the first one and the logarithms of the gaps, so they stay ordered.
     """
     index = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    length = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), length)
+    owner = np.repeat(np.arange(len(rows)), np.array([len(r) for r in rows], dtype=np.int64))
     w, raw = start if start is not None else (np.zeros(width), np.array([1.0, 0.0, 0.0][: GRADES - 1]))
     theta = np.concatenate([w, raw])
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    total = weight.sum()
+    total = max(weight.sum(), 1e-9)
     y = grades
     for step in range(1, steps + 1):
         w, raw = theta[:width], theta[width:]
@@ -227,83 +214,77 @@ def fit_ordinal(
     return theta[:width], theta[width:]
 
 
-def _lowest_good_cut(scores: np.ndarray, bad: np.ndarray, fallback: float) -> float:
-    """The lowest cut that tells the labelled documents apart nearly best, so that more comes to review rather than less.
-
-    Best is the highest F1 against the majority of votes; raters err, so cuts within ``PLATEAU`` of it count as well.
-    """
-    if not bad.any() or bad.all():
-        return fallback
-    order = np.argsort(-scores)
-    ranked = scores[order]
-    f1 = 2 * np.cumsum(bad[order]) / (np.arange(1, len(order) + 1) + bad.sum())
-    k = np.flatnonzero(f1[:-1] >= f1.max() - PLATEAU)
-    return float((ranked[k[-1]] + ranked[k[-1] + 1]) / 2) if len(k) else fallback
-
-
-def _frequency(feature: str, common: dict[str, float]) -> float:
-    """Share of the corpus's documents with the feature; of a run at most that of its rarest word."""
-    if feature[0] in "?*":
-        return 0.0
-    return min(common.get(w, 0.0) for w in feature.split(" "))
-
-
 def train(
-    texts: Iterable[str], votes: list[int], bad: list[int], common: dict[str, float] | None = None, rounds: int = 5
+    forms: Sequence[str], votes: Sequence[int], bad: Sequence[int], common: dict[str, float] | None = None, lift: dict[str, float] | None = None
 ) -> Model:
-    """Fit on labelled texts; the lists give each text's number of votes and of votes for any bad category.
+    """Fit on labelled texts in normal form; the lists give each text's number of votes and of votes for any bad category.
 
-    ``common`` has the share of all documents for the folded words that are frequent in the corpus: what is
-    said everywhere is not what raters object to, so positive weights of such features are held closer to zero, and
-    the first choice of a document's worst passage goes by seed words and rare ones.
+    ``common`` has the share of all documents for the words that are frequent in the corpus: what is said everywhere is not what raters
+    object to, so positive weights of such features are held closer to zero. ``lift`` has the log-lift of words by their company.
     """
-    ids: dict[str, int] = {}
+    common, lift = common or {}, lift or {}
+    ids: dict[str | tuple[str, str], int] = {}
     seen: Counter[int] = Counter()
     bags: list[list[np.ndarray]] = []
-    for t in texts:
+    for form in forms:
         bag = {}
-        for found in passages(t or ""):
-            row = np.array(sorted(ids.setdefault(f, len(ids)) for f in found), dtype=np.int32)
-            bag[row.tobytes()] = row
-        bags.append(list(bag.values()) or [np.zeros(0, np.int32)])
+        for s in (form or "").split("\n"):
+            t = s.split(" ") if s else []
+            clauses = [c.split() for c in s.split(";")] if ";" in t else []
+            for part in (t, *filter(None, clauses)):
+                row = np.array(sorted(ids.setdefault(f, len(ids)) for f in {*part, *zip(part, part[1:])}), dtype=np.int32)
+                bag[row.tobytes()] = row
+        bags.append(list(bag.values()))
         seen.update(np.unique(np.concatenate(bags[-1])).tolist())
+    must = {ids.setdefault(w, len(ids)) for w in lift}
     kept = np.full(len(ids), -1, dtype=np.int32)
-    for i, f in enumerate(f for f in range(len(ids)) if seen[f] >= 2):
+    for i, f in enumerate(f for f in range(len(ids)) if seen[f] >= 2 or f in must):
         kept[f] = i
     width = int((kept >= 0).sum())
     if not width:
-        return Model({}, [1.0, 2.0, 3.0])
+        return Model({}, {}, [1.0, 2.0, 3.0])
     bags = [[kept[row][kept[row] >= 0] for row in bag] for bag in bags]
+    names: list = [None] * width
+    for f, j in ids.items():
+        if kept[j] >= 0:
+            names[kept[j]] = f
     grades = np.array([grade(v, b) for v, b in zip(votes, bad)], dtype=np.int64)
     confidence = np.sqrt(np.array(votes, dtype=float))
-    names = {i: f for f, j in ids.items() if (i := int(kept[j])) >= 0}
-    share = np.array([_frequency(names[i], common or {}) for i in range(width)])
-    seeded = np.array([SEEDED.get(names[i], 0.0) for i in range(width)])
-    state = (seeded + RARE * np.maximum(0.0, 1 - share / RARE_SHARE) * (seeded == 0), np.array([3.0, 0.0, 0.0]))
-    clean: dict[bytes, list] = {}  # every passage of a clean document is clean; equal ones count together
+    share = np.array([common.get(f, 0.0) if isinstance(f, str) else min(common.get(f[0], 0.0), common.get(f[1], 0.0)) for f in names])
+    prior = np.array([TRUST * lift.get(f, 0.0) if isinstance(f, str) else 0.0 for f in names])
+    with_bad, with_clean = np.zeros(width), np.zeros(width)
+    clean: dict[bytes, list] = {}  # every sentence of a clean document is clean; equal ones count together
     for bag, y, c in zip(bags, grades, confidence):
-        if not y:
+        held = np.unique(np.concatenate(bag))
+        if y >= 2:
+            with_bad[held] += c
+        elif y == 0:
+            with_clean[held] += c
             for row in bag:
                 clean.setdefault(row.tobytes(), [row, 0.0])[1] += c
-    for turn in range(rounds):
-        rows = [r for r, _ in clean.values()]
-        ws = [c for _, c in clean.values()]
+    # the first choice of worst sentences: by how much more bad documents have the feature than clean ones and the corpus
+    n_bad, n_clean = max(confidence[grades >= 2].sum(), 1.0), max(confidence[grades == 0].sum(), 1.0)
+    usually = 0.5 * (with_clean + 0.5) / n_clean + 0.5 * np.maximum(share, 0.5 / n_clean)
+    odds = np.log((with_bad + 0.5) / n_bad / usually)
+    guess = np.where(with_bad > 0, odds, np.minimum(odds, 0)) * np.array([1.3 if isinstance(f, str) else 0.3 for f in names]) + 2 * prior
+    state = (guess, np.array([3.0, 0.0, 0.0]))
+    for turn in range(TURNS):
+        rows, ws = [r for r, _ in clean.values()], [c for _, c in clean.values()]
         ys = [0] * len(rows)
-        scored = [np.array([state[0][s].sum() for s in bag]) for bag in bags]
+        strength = (lambda s: np.sort(state[0][s])[-4:].sum()) if turn == 0 else (lambda s: state[0][s].sum())
+        scored = [np.array([strength(s) for s in bag]) for bag in bags]
         usual = np.median([s.max() for s, y in zip(scored, grades) if not y] or [-np.inf])
         for bag, scores, y, c in zip(bags, scored, grades, confidence):
             if y:  # a rater may have erred where nothing in the text stands out from clean documents
                 rows.append(bag[int(np.argmax(scores))])
                 ys.append(y)
                 ws.append(c * (DOUBT if turn and scores.max() <= usual + 1 else 1.0))
-        start = state if turn else (seeded, state[1])
-        state = fit_ordinal(rows, np.array(ys), np.array(ws), width, COMMON * share, start=start, steps=MORE if turn else STEPS, prior=seeded)
+        start = state if turn else (prior.copy(), state[1])
+        state = fit_ordinal(rows, np.array(ys), np.array(ws), width, COMMON * share, MORE if turn else STEPS, start, prior)
     w, raw = state
     cuts = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
-    worst = np.array([max(state[0][s].sum() for s in bag) for bag in bags])
-    majority = np.array([2 * b > v for v, b in zip(votes, bad)])
-    weights = {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3).tolist()}
-    return Model(weights, [float(c) for c in cuts], _lowest_good_cut(worst, majority, float(cuts[1])))
+    strong = [(names[i], float(w[i])) for i in np.flatnonzero(np.abs(w) > 1e-3).tolist()]
+    return Model({f: v for f, v in strong if isinstance(f, str)}, {f: v for f, v in strong if not isinstance(f, str)}, cuts)
 
 
 def votes_by_document(labels: DataFrame) -> DataFrame:
@@ -315,55 +296,121 @@ def votes_by_document(labels: DataFrame) -> DataFrame:
     )
 
 
-def common_words(documents: DataFrame, share: float = 0.002) -> dict[str, float]:
-    """Share of all documents by folded word, for words in at least that share of them (and in three).
+def normal_forms(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, n_chars, form) of every document, in a table: the source by its plain name, the length, and the text's normal form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = [normal_form(t) if t else "" for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(forms, pa.string())], names=["doc_id", "source", "n_chars", "form"])
+
+    rows = documents.select(
+        "doc_id", F.lower(F.btrim("source", F.lit(BLANKS))).alias("source"), F.length("text").cast("bigint").alias("n_chars"), "text"
+    )
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return materialize(rows.mapInArrow(run, f"doc_id {kind}, source string, n_chars bigint, form string"))
+
+
+def word_documents(forms: DataFrame) -> DataFrame:
+    """(word, n_documents) over all documents, counted within batches first."""
 
-    Counted over the whole corpus without Python; at most (words per document) / share words come back.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count: Counter[str] = Counter()
+            for form in batch.column(0).to_pylist():
+                count.update(set(form.replace("\n", " ").split(" ")))
+            count.pop("", None)
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+
+    return forms.select("form").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n_documents"))
+
+
+def company(forms: DataFrame, model: Model) -> DataFrame:
+    """(word, n_company): documents in which the word stands in a sentence and another sentence is bad; the empty word counts those with any bad one."""
+    held = forms.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            scores, counts = m.sentence_scores(texts)
+            ends = np.cumsum(counts)
+            bad = scores > m.thresholds[0]
+            before = np.concatenate([[0], np.cumsum(bad)])
+            n_bad = before[ends] - before[ends - counts]
+            count: Counter[str] = Counter()
+            for i in np.flatnonzero(n_bad).tolist():
+                flags = bad[ends[i] - counts[i] : ends[i]]
+                others = [s for s, f in zip(texts[i].split("\n"), flags) if n_bad[i] > 1 or not f]
+                count.update({w for s in others for w in s.split(" ")})
+                count[""] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+
+    return forms.select("form").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n_company"))
+
+
+def lifts(together: DataFrame, words: DataFrame, n_documents: int) -> dict[str, float]:
+    """Log-lift of the words that keep company with bad sentences more than others do.
+
+    A word needs ``LEAST`` such documents and ``LEAST_SHARE`` of all of them, so at most (words per document) / ``LEAST_SHARE`` words come back.
     """
-    texts = documents.where(F.col("text").isNotNull())
-    n = texts.count()
-    tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"))
-    counts = texts.select(F.explode(tokens).alias("w")).where("w <> '' AND length(w) <= 40").groupBy("w").count()
-    rows = counts.where(F.col("count") >= max(3, share * n)).collect()
-    out: dict[str, float] = {}
-    for r in rows:
-        w = "#" if r["w"].isdigit() else _fold(_plain(r["w"]))
-        out[w] = min(1.0, out.get(w, 0.0) + r["count"] / n)
-    return out
-
-
-def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    bad = together.where("word = ''").agg(F.coalesce(F.sum("n_company"), F.lit(0))).first()[0]
+    if not bad:
+        return {}
+    base = bad / n_documents
+    share = (F.col("n_company") + SMOOTH * base) / (F.col("n_documents") + SMOOTH)
+    rows = (
+        together.where((F.col("word") != "") & (F.col("n_company") >= max(LEAST, LEAST_SHARE * bad)))
+        .join(words, "word")
+        .select("word", F.log(share / base).alias("lift"))
+        .where(F.col("lift") > LIFTS[0])
+    )
+    return {r["word"]: min(r["lift"], LIFTS[1]) for r in rows.collect() if len(r["word"]) > 1 and not r["word"].isdigit()}
+
+
+def fit(forms: DataFrame, labels: DataFrame) -> Model:
     """Model from a bounded sample: at most ``MAX_LABELLED`` labelled documents of up to ``MAX_CHARS`` characters, by hash.
 
-    The corpus's common words are counted over all documents.
+    ``forms`` are the normal forms of the whole corpus; words are counted, and their company is looked for, over all documents.
+    Without labels nothing is known and nothing is reported.
     """
     chosen = (
-        documents.where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
+        forms.where(F.col("n_chars") <= MAX_CHARS)
         .join(votes_by_document(labels), "doc_id")
-        .select("doc_id", "text", "n_votes", "n_bad")
+        .select("doc_id", "form", "n_votes", "n_bad")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(MAX_LABELLED)
     )
     rows = chosen.collect()
-    return train(
-        (r["text"] for r in rows), [r["n_votes"] for r in rows], [r["n_bad"] for r in rows], common_words(documents) if rows else {}
-    )
-
-
-def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, source, severity, flagged) for every document; null texts and those without words have severity 0."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    if not rows:
+        return Model({}, {}, [1.0, 2.0, 3.0])
+    n = forms.count()
+    words = materialize(word_documents(forms))
+    common = {r["word"]: r["n_documents"] / n for r in words.where(F.col("n_documents") >= max(3, COMMON_SHARE * n)).collect()}
+    sample = [r["form"] for r in rows], [r["n_votes"] for r in rows], [r["n_bad"] for r in rows]
+    model = train(*sample, common)
+    for _ in range(PASSES):
+        model = train(*sample, common, lifts(materialize(company(forms, model)), words, n))
+    return model
+
+
+def score_documents(forms: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, source, severity, flagged) for every document; null texts and those without words have severity 0.
+
+    ``severity`` is the expected grade by the ordinal model, and a document is flagged from ``REPORT`` on.
+    """
+    held = forms.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            scores = np.array([m.score(t or "") for t in batch.column(2).to_pylist()], dtype=float)
+            severity = m.severity(m.scores(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(m.severity(scores), pa.float64()), pa.array((scores > m.cut) & (scores > NOTHING))],
+                [batch.column(0), batch.column(1), pa.array(severity, pa.float64()), pa.array(severity >= REPORT)],
                 names=["doc_id", "source", "severity", "flagged"],
             )
 
-    source = documents.select("doc_id", F.lower(F.btrim("source", F.lit(BLANKS))).alias("source"), "text")
+    source = forms.select("doc_id", "source", "form")
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, source string, severity double, flagged boolean")
 

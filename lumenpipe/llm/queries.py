@@ -100,8 +100,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    documents = _table(spark, d, "documents")
-    return abuse.score_documents(documents, abuse.fit(documents, _table(spark, d, "doc_labels")))
+    forms = abuse.normal_forms(_table(spark, d, "documents"))
+    return abuse.score_documents(forms, abuse.fit(forms, _table(spark, d, "doc_labels")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out accuracy."""
 
 import math
+import os
 import random
 import unicodedata
 
@@ -243,24 +244,62 @@ def test_abuse_model_held_out(spark):
     labels += [labels[0], (1, 9, None), (None, 1, "abuse")]
     docs = [(k, rnd.choice([" A", "a", "b", None]), t) for k, t in enumerate(texts)] + [(5000, "a", None), (5001, "b", ""), (5002, "b", "x " * 50_000)]
     d = spark.createDataFrame(docs, "doc_id bigint, source string, text string").withColumn("severity", F.lit("clash"))
-    model = abuse.fit(d, spark.createDataFrame(labels, "doc_id bigint, rater int, category string"))
+    forms = abuse.normal_forms(d)
+    model = abuse.fit(forms, spark.createDataFrame(labels, "doc_id bigint, rater int, category string"))
     assert model.thresholds == sorted(model.thresholds)
-    scored = {r["doc_id"]: r for r in abuse.score_documents(d, model).collect()}
+    scored = {r["doc_id"]: r for r in abuse.score_documents(forms, model).collect()}
     assert len(scored) == len(docs)
     trained = {x[0] for x in labels}
     rest = [k for k in range(len(texts)) if k not in trained]
     assert len(rest) > 150
-    right = sum(scored[k]["flagged"] == truth[k] for k in rest) / len(rest)
-    assert right > 0.93
+    found = sum(scored[k]["flagged"] and truth[k] for k in rest)
+    assert found >= 0.9 * sum(truth[k] for k in rest)  # recall
+    assert found >= 0.9 * sum(scored[k]["flagged"] for k in rest)  # precision
     assert not scored[5000]["flagged"] and not scored[5001]["flagged"]
-    report = {r["source"]: r["n_documents"] for r in abuse.rates(abuse.score_documents(d, model)).collect()}
+    report = {r["source"]: r["n_documents"] for r in abuse.rates(abuse.score_documents(forms, model)).collect()}
     assert set(report) == {"a", "b", None} and sum(report.values()) == len(docs)
-    blank = abuse.fit(d.limit(0), spark.createDataFrame([], "doc_id bigint, rater int, category string"))
-    assert abuse.score_documents(d, blank).where("flagged").count() == 0
-
-
-def test_obfuscated_words_share_features():
-    plain = abuse.features("you stupid moron")
-    for text in ("you st​upid m0ron", "YOU s t u p i d moron", "you stuuuupid mоron", "yöu st.u.p.i.d moron"):
-        assert {"stupid", "moron"} <= {f for f in abuse.features(text)} & plain or "?insult" in abuse.features(text)
-    assert "*fk" in abuse.features("f**k this")
+    none = spark.createDataFrame([], "doc_id bigint, rater int, category string")
+    blank = abuse.fit(forms.limit(0), none)
+    assert abuse.score_documents(forms, blank).where("flagged").count() == 0
+    assert abuse.score_documents(forms.limit(0), model).count() == 0
+
+
+def test_abuse_on_the_given_labels(spark):
+    """Half of the labels (by hash) train, unanimous votes of two raters or more on the other half judge."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    forms = abuse.normal_forms(spark.read.parquet(f"{folder}/documents.parquet"))
+    labels = spark.read.parquet(f"{folder}/doc_labels.parquet")
+    third = F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(3))
+    model = abuse.fit(forms, labels.where(third != 0))
+    judged = abuse.votes_by_document(labels.where(third == 0)).where("n_votes >= 2 AND (n_bad = 0 OR n_bad = n_votes)")
+    rows = judged.join(abuse.score_documents(forms, model), "doc_id").select((F.col("n_bad") > 0).alias("bad"), "flagged").collect()
+    found = sum(r["bad"] and r["flagged"] for r in rows)
+    assert found >= 0.95 * sum(r["flagged"] for r in rows)
+    assert found >= 0.6 * sum(r["bad"] for r in rows)  # 390 labelled documents and 10 000 others; the README has the figures for more
+
+
+def test_words_gain_weight_by_their_company(spark):
+    bad = ["you wretched gnome", "crawl away vile toad"]
+    texts = [f"all fine here today\n{bad[k % 2]}" for k in range(30)] + [f"{bad[0]}\n{bad[1]}" for _ in range(30)] + ["all fine here today\nnothing new"] * 400
+    d = abuse.normal_forms(spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id bigint, source string, text string"))
+    model = abuse.Model({"gnome": 6.0}, {}, [3.0, 4.0, 5.0])
+    found = abuse.lifts(abuse.company(d, model), abuse.word_documents(d), len(texts))
+    assert {"crawl", "away", "vile", "toad"} <= set(found) and not {"today", "nothing", "gnome"} & set(found)
+
+
+def test_scores_of_sentences_and_clauses():
+    m = abuse.Model({"ant": 1.0, "b": -3.0, "zed": 2.0}, {("ant", "zed"): 4.0}, [1.0, 2.0, 3.0])
+    forms = [abuse.normal_form(t) for t in ("ant zed ant. b zed", "", "b, zed and ant", "other words")]
+    totals, counts = m.sentence_scores(forms)
+    assert counts.tolist() == [2, 0, 1, 1] and totals.tolist() == [7.0, -1.0, 3.0, 0.0]
+    assert m.scores(forms).tolist() == [7.0, abuse.NOTHING, 3.0, 0.0]
+    assert m.sentence_scores([])[0].tolist() == []
+
+
+def test_obfuscated_words_have_one_normal_form():
+    for text in ("You are a STUPID moron", "yоu are a st​upid m0ron", "you are a stuuuupid moron", "yöu are a st.u.p.i.d mоron"):
+        assert {"stupid", "moron"} & set(abuse.normal_form(text).split())
+    assert abuse.normal_form("s t u p i d you") == "stupid you" and abuse.normal_form("p.a.t.h") == "path"
+    assert "*fk" in abuse.normal_form("f**k this") and abuse.normal_form("") == abuse.normal_form(" \n ") == ""
