@@ -1,10 +1,11 @@
 """Attribute-value rows into wide, typed tables by characteristic sets.
 
-An entity's characteristic set is the exact set of catalog attributes it has. Entities are laid out by
-set: each of the most frequent sets becomes a dense table with just its columns, the many rare sets share
-one table with every column (their number grows with the data, that of tables in a plan must not), and
-the tables are united by name with the missing columns null. The entity rows are written once,
-partitioned by table, so every dense table reads its own files only.
+An entity's characteristic set (signature) is the exact set of catalog attributes it has a value for, a bit mask. Every
+entity is laid out densely under its signature: a row has exactly the cells of its set, in catalog order, and which
+cell is which attribute is known from the signature alone. There are thousands of signatures, growing with the data, and a plan cannot
+unite thousands of tables: so the rows are written once, sorted by signature, into a fixed number of groups of signatures
+that agree on the first attributes. Each group is read with the columns that its signatures can have, and
+the groups are united by name with the missing columns null.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .shared import BLANKS, hex_id, materialize
 
-#: Most frequent characteristic sets that get a table of their own.
-DENSE_TABLES = 12
+#: Signatures are grouped by whether they have each of so many attributes, the first of the catalog: 2**GROUP_BITS groups.
+GROUP_BITS = 4
 
 SQL_TYPES = {"string": "string", "int64": "bigint", "double": "double", "bool": "boolean"}
 
@@ -56,27 +57,41 @@ def attribute_rows(spans: DataFrame, attrs: DataFrame) -> DataFrame:
 
 
 def entities(rows: DataFrame, catalog: list[tuple[str, str, str]]) -> DataFrame:
-    """One row per span with attributes: map column -> value, keys met ill-typed, and the characteristic set.
+    """One dense row per span with attributes: trace_id, span_id, its signature ``mask``, and ``cells`` (value, ill) in catalog order.
 
-    The value of a column is the latest well-typed one (highest wal_seq, ties to the greater text). The
-    set is a bit mask over the catalog. Rows are first folded by (span, column), map-side.
+    ``value`` is the latest well-typed one (highest wal_seq, ties to the greater text), null if there is none; ``ill`` says whether any
+    value of the attribute did not read as its type. Rows are first folded by (span, attribute), map-side.
     """
-    names = F.create_map(*[F.lit(x) for k, c, _ in catalog for x in (k.lower(), k, c.lower(), k)])
-    types = F.create_map(*[F.lit(x) for k, _, t in catalog for x in (k, t)])
-    known = rows.withColumn("key", names[F.col("key")]).where("key IS NOT NULL AND value IS NOT NULL")
-    fits = reads_as(F.col("value"), types[F.col("key")])
-    known = known.withColumn("fits", F.coalesce(fits, F.lit(False)))
-    folded = known.groupBy("trace_id", "span_id", "key").agg(
-        F.max(F.when(F.col("fits"), F.struct("wal_seq", "value")))["value"].alias("value"),
-        F.max(~F.col("fits")).alias("ill"),
-    )
-    bits = F.create_map(*[F.lit(x) for i, (k, _, _) in enumerate(catalog) for x in (k, 1 << i)])
-    one = F.struct("key", "value")
-    return folded.groupBy("trace_id", "span_id").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), bits[F.col("key")])), F.lit(0)).cast("bigint").alias("mask"),
-        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), one))).alias("attrs"),
-        F.sort_array(F.collect_list(F.when(F.col("ill"), F.col("key")))).alias("ill_typed"),
+    names = F.create_map(*[F.lit(x) for i, (k, c, _) in enumerate(catalog) for x in (k.lower(), i, c.lower(), i)])
+    types = F.array(*[F.lit(t) for _, _, t in catalog])
+    known = rows.withColumn("bit", names[F.col("key")]).where("bit IS NOT NULL AND value IS NOT NULL")
+    fits = F.coalesce(reads_as(F.col("value"), F.get(types, F.col("bit"))), F.lit(False))
+    folded = known.withColumn("fits", fits).groupBy("trace_id", "span_id", "bit").agg(
+        F.max(F.when(F.col("fits"), F.struct("wal_seq", "value")))["value"].alias("value"), F.max(~F.col("fits")).alias("ill")
     )
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("bit", "value", "ill"))), lambda x: F.struct(x["value"], x["ill"]))
+    mask = F.sum(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).cast("bigint")
+    return folded.groupBy("trace_id", "span_id").agg(mask.alias("mask"), cells.alias("cells"))
+
+
+def signature_keys(mask: Column, catalog: list[tuple[str, str, str]]) -> Column:
+    """The attributes of a signature, in the order of the cells of its rows."""
+    has = lambda i: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)) != 0
+    return F.filter(F.array(*[F.lit(k) for k, _, _ in catalog]), lambda _, i: has(i))
+
+
+def laid_out(spans: DataFrame, attrs: DataFrame, listed: list[tuple[str, str, str]]) -> DataFrame:
+    """The dense rows of all entities in a table, by group of signatures and sorted by signature; no shuffle beyond that of the fold."""
+    rows = entities(attribute_rows(spans, attrs), listed)
+    group = F.col("mask").bitwiseAND(F.lit((1 << GROUP_BITS) - 1)).cast("int")
+    return materialize(rows.withColumn("sets", group).sortWithinPartitions("sets", "mask"), "sets")
+
+
+def _listed(catalog: DataFrame) -> list[tuple[str, str, str]]:
+    listed = [tuple(r) for r in catalog.select("key", "column_name", "value_type").orderBy("key").limit(63).collect()]
+    if len(listed) > 62:
+        raise ValueError("the catalog may have at most 62 attributes")
+    return listed
 
 
 def _typed(value: Column, value_type: str) -> Column:
@@ -89,33 +104,39 @@ def wide_table(spans: DataFrame, attrs: DataFrame, catalog: DataFrame, with_bare
     Spans without any known attribute are there with nulls unless ``with_bare_spans`` is off. The catalog
     is a small driver-side table of at most 62 attributes (one bit each).
     """
-    listed = [tuple(r) for r in catalog.select("key", "column_name", "value_type").orderBy("key").limit(63).collect()]
-    if len(listed) > 62:
-        raise ValueError("the catalog may have at most 62 attributes")
-    sets = entities(attribute_rows(spans, attrs), listed)
-    top = materialize(sets)
-    counts = top.groupBy("mask").count().orderBy(F.desc("count"), "mask").limit(DENSE_TABLES)
-    frequent = [r["mask"] for r in counts.collect()]
-    where = F.col("mask").isin(frequent) if frequent else F.lit(False)
-    laid_out = materialize(top.withColumn("dense", F.when(where, F.col("mask")).otherwise(F.lit(-1))), "dense")
-
-    def table(key: int, columns: list[tuple[str, str, str]]) -> DataFrame:
-        cells = [_typed(F.col("attrs")[k], t).alias(c) for k, c, t in columns]
-        return laid_out.where(F.col("dense") == key).select("trace_id", "span_id", *cells, "ill_typed")
-
-    tables = [table(-1, listed)]
-    for mask in frequent:
-        tables.append(table(mask, [a for i, a in enumerate(listed) if mask >> i & 1]))
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    listed = _listed(catalog)
+    rows = laid_out(spans, attrs, listed)
+    mask = F.col("mask")
+
+    def cell(i: int) -> Column:
+        """The i-th attribute: its place among the cells is the number of lower bits in the signature."""
+        place = F.bit_count(mask.bitwiseAND(F.lit((1 << i) - 1).cast("bigint"))).cast("int")
+        return F.when(mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.get("cells", place)["value"])
+
+    keys = signature_keys(mask, listed)
+    ill = F.filter(F.transform(keys, lambda k, i: F.when(F.get("cells", i)["ill"], k)), lambda k: k.isNotNull())
+
+    def table(group: int) -> DataFrame:
+        columns = [(i, c, t) for i, (_, c, t) in enumerate(listed) if i >= GROUP_BITS or group >> i & 1]
+        cells = [_typed(cell(i), t).alias(c) for i, c, t in columns]
+        return rows.where(F.col("sets") == group).select("trace_id", "span_id", *cells, ill.alias("ill_typed"))
+
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [table(g) for g in reversed(range(1 << min(GROUP_BITS, len(listed))))])
     if with_bare_spans:
         ids = spans.select(hex_id("trace_id").alias("trace_id"), hex_id("span_id").alias("span_id")).distinct()
-        out = ids.join(top.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_anti").unionByName(
-            out, allowMissingColumns=True
-        )
-    return out.select("trace_id", "span_id", *[c for _, c, _ in listed], "ill_typed")
+        found = rows.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"))
+        bare = ids.join(found, (F.col("trace_id") == F.col("__t")) & (F.col("span_id") == F.col("__s")), "left_anti")
+        out = out.unionByName(bare, allowMissingColumns=True)
+    columns = [F.col(c) if c in out.columns else F.lit(None).cast(SQL_TYPES[t]).alias(c) for _, c, t in listed]
+    return out.select("trace_id", "span_id", *columns, "ill_typed")
 
 
 def ill_typed_values(spans: DataFrame, attrs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(trace_id, span_id, key) of attributes with a value that does not read as the catalog's type."""
-    wide = wide_table(spans, attrs, catalog, with_bare_spans=False)
-    return wide.select("trace_id", "span_id", F.explode("ill_typed").alias("key"))
+    """(trace_id, span_id, key) of attributes with a value that does not read as the catalog's type.
+
+    The cells of the dense rows say which place is ill, their signatures which attribute that is.
+    """
+    listed = _listed(catalog)
+    rows = laid_out(spans, attrs, listed)
+    places = rows.select("trace_id", "span_id", "mask", F.posexplode("cells").alias("place", "cell")).where("cell.ill")
+    return places.select("trace_id", "span_id", F.get(signature_keys(F.col("mask"), listed), F.col("place")).alias("key"))
