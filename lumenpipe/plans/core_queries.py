@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(table(spark, d, "datapoints"), table(spark, d, "series")).select(
-        "series_id", "period_unix_s", "value", "is_missing", "locf_value", "n_readings"
+        "series_id", "period_unix_s", "value", "is_missing", "locf_value", "linear_value", "n_readings"
     )
 
 
@@ -166,8 +166,11 @@ _SPAN_COLUMNS = (
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_PERIODS} SELECT series_id, s AS period_unix_s FROM g ANTI JOIN c USING (series_id, s)",
     "p1_grid": f"""WITH {_PERIODS} SELECT g.series_id, g.s AS period_unix_s, c.value, c.s IS NULL AS is_missing,
-        last_value(c.value IGNORE NULLS) OVER (PARTITION BY g.series_id ORDER BY g.s) AS locf_value,
-        coalesce(c.n, 0) AS n_readings FROM g LEFT JOIN c ON c.series_id = g.series_id AND c.s = g.s""",
+        last_value(c.value IGNORE NULLS) OVER l AS locf_value, CASE WHEN c.s IS NOT NULL THEN c.value ELSE
+          last_value(c.value IGNORE NULLS) OVER l + (first_value(c.value IGNORE NULLS) OVER r - last_value(c.value IGNORE NULLS) OVER l)
+          * ((g.s - last_value(c.s IGNORE NULLS) OVER l) / (first_value(c.s IGNORE NULLS) OVER r - last_value(c.s IGNORE NULLS) OVER l)) END AS linear_value,
+        coalesce(c.n, 0) AS n_readings FROM g LEFT JOIN c ON c.series_id = g.series_id AND c.s = g.s
+        WINDOW l AS (PARTITION BY g.series_id ORDER BY g.s), r AS (PARTITION BY g.series_id ORDER BY g.s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
     "p2_found": f"SELECT {T} AS trace_id, {S} AS span_id FROM spans GROUP BY 1, 2 HAVING count(*) > 1",
     "p2_exactly_once": f"SELECT trace_id, span_id, n_copies, "
     f"CASE WHEN replace({_ID.format('x.parent_span_id')}, '0', '') = '' THEN NULL ELSE {_ID.format('x.parent_span_id')} END "

@@ -236,3 +236,17 @@ def test_exactly_once_returns_the_attributes_of_the_kept_copy(spark, tmp_path):
     spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/spans.parquet")
     got = {r["span_id"][-1]: (r["n_copies"], r["_overflow_attrs"]) for r in core_queries.QUERIES["p2_exactly_once_attrs"](spark, str(tmp_path)).collect()}
     assert got == {"1": (2, [["a", None], ["b", "2"]]), "2": (1, None)}
+
+
+def test_grid_spreads_a_long_gap(spark, monkeypatch):
+    """Two readings millions of periods apart: the cells are made in all tasks, and whole blocks without readings are there."""
+    monkeypatch.setattr(grid, "SHARD", 64)
+    n = 600_000
+    df = spark.createDataFrame([(1, 3 * 10**9, 1.0), (1, (n + 3) * 10**9, 5.0)], "series_id bigint, time_unix_nano bigint, value double")
+    out = grid.regular_grid(df, spark.createDataFrame([(1, 1)], "series_id bigint, interval_s bigint"))
+    per_task = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_task) == n + 1 and len(per_task) == 4 and max(per_task) < 0.4 * n
+    ends = out.agg(F.min("period_unix_s"), F.max("period_unix_s"), F.count_distinct("period_unix_s"), F.sum(F.col("is_missing").cast("int"))).first()
+    assert tuple(ends) == (3, n + 3, n + 1, n - 1)
+    middle = out.where(F.col("period_unix_s") == 3 + n // 2).first()
+    assert middle["locf_value"] == 1.0 and abs(middle["linear_value"] - 3.0) < 1e-9
