@@ -70,14 +70,9 @@ def periods(state: DataFrame) -> DataFrame:
     )
 
 
-def corrected_periods(spans: DataFrame) -> DataFrame:
-    """Per (resource_id, minute_unix_s) the aggregates on time and after late corrections.
-
-    Columns: n_on_time, n_late, n_dropped, n_distinct, min_value, max_value, median_on_time and median
-    (lower medians of duration_ns, exact). Null durations count as rows but have no value.
-    """
+def with_medians(state: DataFrame) -> DataFrame:
+    """The periods of a state with the lower medians of their values before (median_on_time) and after (median_value) correction."""
     keys = ["resource_id", "minute_unix_s"]
-    state = materialize(multiset(first_deliveries(spans)))
     counts = state.where(F.col("value").isNotNull()).withColumn("n_kept", F.col("n_on_time") + F.col("n_late"))
     early = values_at_ranks(counts, keys, "value", "n_on_time", {"median_on_time": median_index})
     both = values_at_ranks(counts, keys, "value", "n_kept", {"median_value": median_index})
@@ -87,6 +82,15 @@ def corrected_periods(spans: DataFrame) -> DataFrame:
     )
 
 
+def corrected_periods(spans: DataFrame) -> DataFrame:
+    """Per (resource_id, minute_unix_s) the aggregates on time and after late corrections.
+
+    Columns: n_on_time, n_late, n_dropped, n_distinct, min_value, max_value, median_on_time and median_value
+    (lower medians of duration_ns, exact). Null durations count as rows but have no value.
+    """
+    return with_medians(materialize(multiset(first_deliveries(spans))))
+
+
 def corrected_minutes(spans: DataFrame) -> DataFrame:
     """(resource_id, minute_unix_s) of the periods that late records within the cut-off corrected."""
     state = multiset(first_deliveries(spans))

@@ -1,6 +1,7 @@
 """Operators against brute force and on awkward input."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,9 +128,12 @@ def test_dedup_in_batches(spark, monkeypatch):
         rows = [(rnd.choice("ab"), rnd.randrange(-40, 90), batch) for _ in range(60)]
         delivered += rows
         df = spark.createDataFrame(rows, "producer string, number bigint, wal_seq bigint")
-        swept = dedup.accept_sequences(df, seen_df, ["wal_seq"], ["wal_seq"]).cache()
-        accepted += [(r["producer"], r["first"]) for r in swept.where("accepted").collect()]
-        ranges = [tuple(r) for r in dedup.merged_ranges(swept).collect()]
+        ranges_df = dedup.coverage(df, seen_df).cache()
+        found = ranges_df.where("copies > 0").collect()
+        times = Counter((p, n) for p, n, _ in rows)
+        assert {(r["producer"], n): r["copies"] for r in found for n in range(r["first"], r["last"] + 1)} == times
+        accepted += [(r["producer"], n) for r in found if not r["seen"] for n in range(r["first"], r["last"] + 1)]
+        ranges = [tuple(r) for r in dedup.merged_ranges(ranges_df).collect()]
         seen_df = spark.createDataFrame(ranges, "producer string, first bigint, last bigint")
     want = {(p, n) for p, n, _ in delivered}
     assert len(accepted) == len(set(accepted)) and set(accepted) == want
@@ -250,3 +254,16 @@ def test_grid_spreads_a_long_gap(spark, monkeypatch):
     assert tuple(ends) == (3, n + 3, n + 1, n - 1)
     middle = out.where(F.col("period_unix_s") == 3 + n // 2).first()
     assert middle["locf_value"] == 1.0 and abs(middle["linear_value"] - 3.0) < 1e-9
+
+
+def test_ranges_decide_what_is_repeated(spark):
+    """A run of numbers delivered twice is one range: without the sweep only its ends would be known."""
+    run = [(f"{'0' * 31}b", f"{n:016x}") for n in range(5_000, 7_000)]
+    rows = run + run[500:1500] + [(f"{'0' * 31}b", "f" * 16)] * 2 + [("b", "odd")] * 3 + [("b", "once")]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string")
+    ranges = dedup.span_ranges(df).orderBy("first").collect()
+    assert [r["last"] - r["first"] + 1 for r in ranges] == [500, 1000, 500, 1] and [r["copies"] for r in ranges] == [1, 2, 1, 2]
+    got = {tuple(r) for r in dedup.repeated_spans(df).collect()}
+    assert got == {*run[500:1500], (f"{'0' * 31}b", "f" * 16), ("b", "odd")}
+    once = dedup.deduplicate_spans(df).collect()
+    assert len(once) == 2003 and Counter(r["n_copies"] for r in once) == {1: 1001, 2: 1001, 3: 1}

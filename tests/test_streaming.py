@@ -118,5 +118,25 @@ def test_streaming_dedup_and_periods_equal_batch(spark, tmp_path):
     periods = CorrectedPeriods(str(tmp_path / "periods"))
     for k in range(3):
         periods(spark.read.parquet(f"{out}/batch={k}"), k)
-    want = late.periods(late.multiset(late.first_deliveries(df)))
+    want = late.corrected_periods(df)
     assert sorted(map(str, periods.periods(spark).collect())) == sorted(map(str, want.collect()))
+
+
+def test_periods_close_at_the_cut_off(spark, tmp_path):
+    cols = "resource_id bigint, start_time_unix_nano bigint, duration_ns bigint, received_unix_nano bigint"
+    feed_ = [
+        [(1, 30 * S, 5, 61 * S), (1, 31 * S, 9, 62 * S)],
+        [(1, 32 * S, 7, 500 * S), (1, 32 * S, 7, 130 * S)],
+        [(1, 2000 * S, 1, 2001 * S)],  # past the first minute's cut-off
+        [(1, 33 * S, 4, 2002 * S)],
+    ]
+    sink = CorrectedPeriods(str(tmp_path / "p"))
+    for k, rows in enumerate(feed_):
+        sink(spark.createDataFrame(rows, cols), k)
+        if k == 2:
+            sink(spark.createDataFrame(rows, cols), k)  # run again
+    got = {r["minute_unix_s"]: r.asDict() for r in sink.periods(spark).collect()}
+    assert {k: got[0][k] for k in ("n_on_time", "n_late", "n_dropped", "median_on_time", "median_value", "n_distinct")} == {
+        "n_on_time": 2, "n_late": 2, "n_dropped": 1, "median_on_time": 5, "median_value": 7, "n_distinct": 3}
+    assert set(got) == {0, 1980}
+    assert spark.read.parquet(str(tmp_path / "p/open/v3")).count() == 1 and len(list((tmp_path / "p/open").glob("v*"))) == 2
