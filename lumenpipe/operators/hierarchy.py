@@ -3,8 +3,9 @@
 The nodes are range-partitioned by (tree, start, id), so a partition holds whole trees, or a run of a
 tree too large for one. Every partition contracts its own parent chains to the fragment's exits: a
 root, a circle, or a parent that lies in another partition. The parents that other fragments point at
-form a much smaller quotient forest, which is solved in the same way over fewer partitions, down to one.
-Its answers are then joined back to the exits only.
+form a much smaller quotient forest, which is solved in the same way over fewer partitions, down to one of bounded size.
+Its answers are then joined back to the exits only. A large quotient that hardly shrinks (links that jump to and fro between
+partitions) is solved by doubling its links in joins instead, so no task ever takes more than its share.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def _contract(keep_chains: bool):
     return run
 
 
-def _solve(nodes: DataFrame, keep_chains: bool, partitions: int | None) -> tuple[DataFrame, DataFrame | None]:
+def _solve(nodes: DataFrame, keep_chains: bool, partitions: int | None, n_nodes: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Contract and, as long as fragments point at each other, solve their quotient forest.
 
     ``nodes`` has (tree, node, parent, ord, weight, end_state). Returns the contraction and the solved
@@ -127,11 +128,11 @@ def _solve(nodes: DataFrame, keep_chains: bool, partitions: int | None) -> tuple
     size = quotient.count()
     if not size:
         return local, None
-    fewer = -(-size // ONE_TASK)
-    if fewer > 1 and partitions:  # always towards one task, whatever the shape of the trees
-        fewer = max(1, min(fewer, partitions // 2))
-    upper, above = _solve(quotient.select("tree", "node", "parent", "ord", "weight", "end_state"), True, fewer)
-    answer = _expand(upper, above)
+    smaller = quotient.select("tree", "node", "parent", "ord", "weight", "end_state")
+    if size > ONE_TASK and n_nodes is not None and size > n_nodes // 2:
+        answer = _doubled(smaller, size)
+    else:
+        answer = _expand(*_solve(smaller, True, -(-size // ONE_TASK), size))
     own = quotient.select("tree", "node", F.col("chain").alias("own_chain"))
     links = answer.where(~F.col("end_state").isin("circle", "trapped")).select(
         "tree", "node", F.posexplode("chain").alias("k", "link")
@@ -151,6 +152,50 @@ def _solve(nodes: DataFrame, keep_chains: bool, partitions: int | None) -> tuple
     return local, materialize(solved)
 
 
+def _reached(nodes: DataFrame, n: int, chains: bool) -> DataFrame:
+    """Pointer doubling: (tree, node, to, lost, top, end_state, chain). Every round joins the nodes still on their way with those they have reached.
+
+    At the end ``to`` is null for chains that end in a root, ``lost`` true where the parent is not there, and the others run in circles:
+    after n steps or more ``to`` stands on the circle.
+    """
+    chain = F.array("node") if chains else F.array().cast("array<string>")
+    cur = materialize(
+        nodes.select("tree", "node", F.col("parent").alias("to"), F.lit(False).alias("lost"), F.col("node").alias("top"), "end_state", chain.alias("chain"))
+    )
+    for _ in range(int(n).bit_length() + 1):
+        moving = cur.where("to IS NOT NULL AND NOT lost")
+        if moving.isEmpty():
+            break
+        there = cur.select(*[F.col(c).alias(f"{c}_") for c in cur.columns])
+        met = moving.join(there, (F.col("tree") == F.col("tree_")) & (F.col("to") == F.col("node_")), "left")
+        hit = F.col("node_").isNotNull()
+        onward = lambda c: F.when(hit, F.col(f"{c}_")).otherwise(F.col(c)).alias(c)
+        step = met.select(
+            "tree", "node", onward("to"), F.when(hit, F.col("lost_")).otherwise(True).alias("lost"), onward("top"), onward("end_state"),
+            F.when(hit, F.concat("chain_", "chain")).otherwise(F.col("chain")).alias("chain"),
+        )
+        cur = materialize(cur.where("to IS NULL OR lost").unionByName(step))
+    return cur
+
+
+def _doubled(nodes: DataFrame, n: int) -> DataFrame:
+    """Answers as of ``_expand`` by pointer doubling; circles are found first, as the chains of what runs in them would never end."""
+    ends = _reached(nodes, n, False)
+    stuck = ends.where("to IS NOT NULL AND NOT lost").select("tree", "node", "to")
+    ring = stuck.select("tree", F.col("to").alias("node")).distinct().withColumn("circle", F.lit(True))
+    loops = stuck.join(ring, ["tree", "node"], "left").select(
+        "tree", "node", F.when(F.col("circle"), "circle").otherwise("trapped").alias("end_state"), F.col("node").alias("root"),
+        F.lit(None).cast("bigint").alias("depth"), F.coalesce("circle", F.lit(False)).alias("circle"), F.array("node").alias("chain"),
+    )
+    free = _reached(nodes.join(stuck, ["tree", "node"], "left_anti"), n, True)
+    return materialize(
+        free.select(
+            "tree", "node", F.when(F.col("lost"), "orphan").otherwise(F.col("end_state")).alias("end_state"), F.col("top").alias("root"),
+            (F.size("chain") - 1).cast("bigint").alias("depth"), F.lit(False).alias("circle"), "chain",
+        ).unionByName(loops)
+    )
+
+
 def _expand(local: DataFrame, above: DataFrame | None) -> DataFrame:
     """Answers (tree, node, end_state, root, depth, circle, chain) of a contraction from those of its quotient."""
     done = local.where("exit_to IS NULL").select(

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,13 +16,16 @@ NS = 1_000_000_000
 BLANKS = " \t\r\n\f\u000b "
 
 _local_dirs: dict[str, str] = {}
+_scope: ContextVar[str] = ContextVar("scope", default="tables")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors can read: ``spark.checkpoint.dir``, else a temporary one (tests, local mode)."""
+    """Folder that all executors can read: ``spark.checkpoint.dir``. Only in local mode, where there is one machine, a temporary one will do."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="lumenpipe-")
@@ -28,21 +33,40 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dirs[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lumenpipe/{spark.sparkContext.applicationId}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the tables that this application has written to the shared folder; results not yet computed are lost."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenpipe/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, _folder(spark))
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """``with scope(spark): ...`` removes the tables that are written within it at its end; results must be computed by then."""
+    name = f"scope-{uuid.uuid4().hex}"
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _remove(spark, f"{_folder(spark)}/{name}")
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of files, never a re-run of the plan, and
-    several consumers share one computation. The files stay until ``release``.
+    several consumers share one computation. The files stay until the end of the ``scope``, or ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenpipe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{_scope.get()}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -65,7 +65,29 @@ def test_hierarchy_across_fragments(spark, seed, monkeypatch):
 
 
 def _many_fragments(real):
-    return lambda nodes, keep, partitions: real(nodes, keep, 7 if partitions is None else partitions)
+    return lambda nodes, keep, partitions, *size: real(nodes, keep, 7 if partitions is None else partitions, *size)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_quotients_that_do_not_shrink(spark, seed, monkeypatch):
+    """Links that jump between fragments at every step: solved by doubling, with the same answers."""
+    rnd = random.Random(seed)
+    n = 240
+    names = [f"n{i:04d}" for i in range(n)]
+    order = names[:]
+    rnd.shuffle(order)
+    links = {a: b for a, b in zip(order, order[1:])} | {order[-1]: None}
+    links[order[59]] = None
+    links[order[119]] = order[100]  # a circle with a tail
+    links[order[179]] = "gone"
+    rows = [("t", k, v, i, 1, "root") for i, (k, v) in enumerate(sorted(links.items()))]
+    monkeypatch.setattr(hierarchy, "ONE_TASK", 20)
+    monkeypatch.setattr(hierarchy, "_solve", _many_fragments(hierarchy._solve))
+    used = []
+    real = hierarchy._doubled
+    monkeypatch.setattr(hierarchy, "_doubled", lambda *a: used.append(1) or real(*a))
+    got = {r["node"]: (r["end_state"], r["root"], r["depth"], r["chain"]) for r in hierarchy.resolve(spark.createDataFrame(rows, NODES)).collect()}
+    assert got == solve_links(links) and used
 
 
 def test_hierarchy_of_spans_with_dirty_ids(spark):
