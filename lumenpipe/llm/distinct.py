@@ -73,69 +73,101 @@ class Sketches:
                 self.limit = self.rows.max(axis=1)
 
 
+#: Groups whose registers a task holds at a time (8 kB each at 1024 registers); then they are handed on and begun anew.
+HELD = 2048
+
+
+def _rows(names: list[tuple], registers: np.ndarray, types: list[pa.DataType], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of (keys, registers)."""
+    m = registers.shape[1]
+    for a in range(0, len(names), 64):
+        part, block = names[a : a + 64], registers[a : a + 64]
+        arrays = [pa.array([n[i] for n in part], type=types[i]) for i in range(len(keys))]
+        offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * m)
+        arrays.append(pa.ListArray.from_arrays(offsets, pa.array(block.reshape(-1))))
+        yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "registers"])
+
+
 def _sketch_partition(keys: list[str], m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[tuple, int] = {}
-        sketches = Sketches(m)
+        sketches, types = Sketches(m), []
+        for batch in batches:
+            types = [f.type for f in batch.schema][: len(keys)]
+            # no more new groups than fit at a time, however many a batch has
+            for start in range(0, batch.num_rows, HELD):
+                part = batch.slice(start, HELD)
+                hashes = part.column(len(keys)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                code = np.zeros(part.num_rows, dtype=np.int64)
+                columns = []
+                for i in range(len(keys)):
+                    d = part.column(i).dictionary_encode(null_encoding="encode")
+                    columns.append(d.dictionary.to_pylist())
+                    code = code * len(columns[-1]) + d.indices.to_numpy(zero_copy_only=False)
+                seen, inverse = np.unique(code, return_inverse=True)
+                if len(index) + len(seen) > 2 * HELD:
+                    yield from _rows(list(index), sketches.rows, types, keys)
+                    index, sketches = {}, Sketches(m)
+                ids = np.empty(len(seen), dtype=np.int64)
+                for j, c in enumerate(seen.tolist()):
+                    key = []
+                    for values in reversed(columns):
+                        c, r = divmod(c, len(values))
+                        key.append(values[r])
+                    ids[j] = index.setdefault(tuple(reversed(key)), len(index))
+                sketches.add(ids[inverse], hashes)
+        yield from _rows(list(index), sketches.rows, types, keys)
+
+    return run
+
+
+def _merge_sorted(keys: list[str]):
+    """Elementwise minimum over the rows of equal keys, which follow each other; one row of registers is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, registers, types = None, None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hashes = batch.column(len(keys)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            code = np.zeros(batch.num_rows, dtype=np.int64)
-            columns = []
-            for i in range(len(keys)):
-                d = batch.column(i).dictionary_encode(null_encoding="encode")
-                columns.append(d.dictionary.to_pylist())
-                code = code * len(columns[-1]) + d.indices.to_numpy(zero_copy_only=False)
-            seen, inverse = np.unique(code, return_inverse=True)
-            ids = np.empty(len(seen), dtype=np.int64)
-            for j, c in enumerate(seen.tolist()):
-                key = []
-                for values in reversed(columns):
-                    c, r = divmod(c, len(values))
-                    key.append(values[r])
-                ids[j] = index.setdefault(tuple(reversed(key)), len(index))
-            sketches.add(ids[inverse], hashes)
-        names = list(index)
-        schema = None
-        for a in range(0, len(names), 64):
-            part = names[a : a + 64]
-            block = sketches.rows[a : a + 64]
-            arrays = [pa.array([n[i] for n in part], type=types[i]) for i in range(len(keys))]
-            offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * m)
-            arrays.append(pa.ListArray.from_arrays(offsets, pa.array(block.reshape(-1))))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "registers"])
-
-    types: list[pa.DataType] = []
-
-    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def watch() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not types:
-                    types.extend(f.type for f in b.schema)
-                yield b
-
-        yield from run(watch())
-
-    return typed
+            types = [f.type for f in batch.schema][: len(keys)]
+            column = batch.column(len(keys))
+            block = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            names = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))])) if keys else [()] * batch.num_rows
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            least = np.minimum.reduceat(block, starts, axis=0)
+            firsts = [names[i] for i in starts]
+            if held is not None and held == firsts[0]:
+                least[0] = np.minimum(least[0], registers)
+            elif held is not None:
+                yield from _rows([held], registers[None, :], types, keys)
+            yield from _rows(firsts[:-1], least[:-1], types, keys)
+            held, registers = firsts[-1], least[-1].copy()
+        if held is not None:
+            yield from _rows([held], registers[None, :], types, keys)
+
+    return run
+
+
+def _fields(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema), "registers array<double>"])
 
 
 def sketch(rows: DataFrame, keys: list[str], identifier: str, m: int = M) -> DataFrame:
-    """Mergeable partial result (keys, register, value): the merged registers per key. Null identifiers do not count.
+    """Mergeable partial result (keys, registers): the merged registers per key. Null identifiers do not count.
 
-    Every input partition keeps one row of registers per key it meets and sends only these; equal keys meet
-    as one row per register, so that merging is a plain minimum, combined map-side.
+    Every input partition keeps registers of at most ``2 * HELD`` keys at a time and sends one array per key, which are merged by key.
     """
     hashed = rows.where(F.col(identifier).isNotNull()).select(*keys, F.xxhash64(identifier).alias("__hash"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.select(*keys).schema)
-    local = hashed.mapInArrow(_sketch_partition(keys, m), f"{fields}, registers array<double>")
-    cells = local.select(*keys, F.posexplode("registers").alias("register", "value"))
-    return cells.groupBy(*keys, "register").agg(F.min("value").alias("value"))
+    return merge(hashed.mapInArrow(_sketch_partition(keys, m), _fields(hashed, keys)), keys)
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches over fewer keys: the elementwise minimum."""
-    return sketches.groupBy(*keys, "register").agg(F.min("value").alias("value"))
+    """Sketches over the keys, or fewer of them: the elementwise minimum, within the partitions first and then by key."""
+    fields, rows = _fields(sketches, keys), sketches.select(*keys, "registers")
+    if not keys:  # one array per partition is left
+        return rows.mapInArrow(_merge_sorted(keys), fields).repartition(1).mapInArrow(_merge_sorted(keys), fields)
+    local = rows.sortWithinPartitions(*keys).mapInArrow(_merge_sorted(keys), fields)
+    return local.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge_sorted(keys), fields)
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -177,9 +209,9 @@ def gamma_quantile(a: float, p: float) -> float:
 
 
 def estimates(sketches: DataFrame, keys: list[str], m: int = M, confidence: float = 0.95) -> DataFrame:
-    """(keys, estimate, low, high, std_error): unbiased count and confidence interval from the sum of the registers."""
+    """(keys, estimate, low, high, std_error) of merged sketches: unbiased count and confidence interval from the sum of the registers."""
     lo, hi = gamma_quantile(m, (1 - confidence) / 2), gamma_quantile(m, (1 + confidence) / 2)
-    sums = sketches.groupBy(*keys).agg(F.sum("value").alias("__sum"))
+    sums = sketches.select(*keys, F.aggregate("registers", F.lit(0.0), lambda a, x: a + x).alias("__sum"))
     return sums.select(
         *keys,
         (F.lit(m - 1.0) / F.col("__sum")).alias("estimate"),
