@@ -261,10 +261,10 @@ def _points(docs: DataFrame, points: Column) -> DataFrame:
 
 
 def datapoints(docs: DataFrame) -> DataFrame:
-    """Points of gauges and sums; whole numbers become doubles."""
+    """Points of gauges and sums; whole numbers become doubles, and points without a value are none."""
     rows = _points(docs, F.coalesce("rec.gauge.dataPoints", "rec.sum.dataPoints"))
     value = F.coalesce("p.asDouble", F.col("p.asInt").try_cast("double"))
-    return rows.select("series_id", "metric_id", "time_unix_nano", value.alias("value"))
+    return rows.select("series_id", "metric_id", "time_unix_nano", value.alias("value")).where("value IS NOT NULL")
 
 
 def _counts(col: str) -> Column:

@@ -107,7 +107,7 @@ def resolve(data: bytes) -> list[tuple]:
 
 
 def read_pprof(spark: SparkSession, path: str) -> DataFrame:
-    """Resolved samples of the files of a folder; files that are no profile give nothing."""
+    """Resolved samples of the files of a folder; files that are no profile give nothing here and are listed by ``failed_files``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "time_unix_nano", "value_type", "unit", "value", "frames"]
@@ -124,6 +124,22 @@ def read_pprof(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, RESOLVED)
 
 
+def failed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error): the files of a folder that are no profile, and why."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bad = []
+            for file, content in zip(batch["path"], batch["content"]):
+                try:
+                    resolve(bytes(content))
+                except (ValueError, IndexError, OSError, EOFError) as e:
+                    bad.append((file, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(bad, columns=["path", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(check, "path string, error string")
+
+
 def _frame_id(x):
     nul = F.lit("\u0000")
     return fnv64(F.concat(x["function_name"], nul, F.coalesce(x["filename"], F.lit("")), nul, x["line"].cast("string")))

@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rollups
+from ..operators import rollups, series
 from ..plans import catalog as C
 from ..plans.errors import ExecutionError
 
@@ -27,6 +27,10 @@ class Retention:
     profiles_days: int = 7
 
 
+#: Metric data lie in two-hour folders within the day.
+TWO_HOURLY = ("datapoints", "histograms", "exp_histograms")
+SERIES_INDEX = "series_id bigint, metric_name string, labels map<string,string>"
+
 FAMILY = {
     "spans": "spans", "span_events": "spans", "span_links": "spans", "logs": "logs", "datapoints": "metrics", "histograms": "metrics",
     "exp_histograms": "metrics", "profiles": "profiles", "samples": "profiles",
@@ -42,35 +46,66 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, signal: str, df: DataFrame, files_per_day: int = 1) -> None:
-        """Append rows: one sorted run of files per day, with statistics that let scans skip row groups.
+    def write(self, signal: str, df: DataFrame, files_per_day: int | None = None) -> None:
+        """Append rows: sorted files in day folders (metric data: two-hour folders below them), with statistics that let scans skip.
 
-        Rows of a day are spread over ``files_per_day`` tasks by hash of the time, so that a hot day does not end in one task.
+        Rows are cut into ranges of time, ties by a hash of the row, so that a hot day or moment does not end in one task; ``files_per_day``
+        asks for so many files a day instead. Declared columns are stored in their declared types.
         """
+        declared = {f.name: f.dataType for f in C.schema(signal)}
+        df = df.select(*[F.col(c).cast(declared[c]).alias(c) if c in declared else F.col(c) for c in df.columns])
         time = C.TIME_COLUMN.get(signal)
-        writer_df = df
+        writer_df, folders = df, ["year", "month", "day"]
         if time:
             when = F.timestamp_micros(F.call_function("div", F.col(time), F.lit(1000)))
             writer_df = df.withColumns({"year": F.year(when), "month": F.month(when), "day": F.day(when)})
-            spread = F.pmod(F.xxhash64(time), F.lit(files_per_day))
-            writer_df = writer_df.repartition("year", "month", "day", spread).sortWithinPartitions("year", "month", "day", time)
+            if signal in TWO_HOURLY:
+                folders.append("hour")
+                writer_df = writer_df.withColumn("hour", rollups.two_hour_bucket(F.col(time)).cast("int"))
+            spread = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
+            if files_per_day:
+                writer_df = writer_df.repartition(*folders, F.pmod(spread, F.lit(files_per_day)))
+            else:
+                writer_df = writer_df.repartitionByRange(time, spread)
+            writer_df = writer_df.sortWithinPartitions(*folders, time)
         writer = writer_df.write.mode("append").option("compression", "zstd")
         for col in BLOOM.get(signal, ()):
             if col in df.columns:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{col}", "true")
         if time:
-            writer = writer.partitionBy("year", "month", "day")
+            writer = writer.partitionBy(*folders)
         writer.parquet(self.path(signal))
 
     def read(self, signal: str) -> DataFrame:
-        """The table under its declared schema; columns that older files lack are null."""
+        """The table under its declared schema (no footer is opened for it); columns that files lack are null."""
+        fs, path = self._fs()
+        if not fs.exists(path(self.path(signal))):
+            return self.spark.createDataFrame([], C.schema(signal))
         try:
-            return self.spark.read.option("mergeSchema", "true").parquet(self.path(signal))
+            return self.spark.read.schema(C.schema(signal)).parquet(self.path(signal))
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return self.spark.createDataFrame([], C.schema(signal))
             raise ExecutionError(str(e)) from e
 
+    def points_of(self, metric: str, start: int, end: int, matchers: dict[str, str] | None = None, signal: str = "datapoints") -> DataFrame:
+        """Points (or histograms) of the series of a metric in [start, end], by the stored series index; day folders outside are not read."""
+        day = F.make_date("year", "month", "day")
+        lo, hi = (F.date_add(F.lit("1970-01-01").cast("date"), F.lit(int(x // DAY_NS))) for x in (start, end))
+        points = self.read(signal)
+        if "year" in points.columns:
+            points = points.where((day >= lo) & (day <= hi))
+        return series.points_of(points, self.series_index(), metric, start, end, matchers)
+
+    def series_index(self) -> DataFrame:
+        fs, path = self._fs()
+        if not fs.exists(path(self.path("series_index"))):
+            return self.spark.createDataFrame([], SERIES_INDEX)
+        return self.spark.read.schema(SERIES_INDEX).parquet(self.path("series_index")).dropDuplicates(["series_id"])
+
+    def register_series(self, index: DataFrame) -> None:
+        """Add (series_id, metric_name, labels) to the index; what is there already is not written again."""
+        new = index.select("series_id", "metric_name", "labels").dropDuplicates(["series_id"])
+        new.join(self.series_index().select("series_id"), "series_id", "left_anti").write.mode("append").parquet(self.path("series_index"))
+
     def signals(self) -> dict:
         return {s: (lambda s=s: self.read(s)) for s in C.DDL}
 
@@ -118,26 +153,47 @@ class Store:
                     dropped += 1
         return dropped
 
+    def recover(self, signal: str) -> None:
+        """Finish what a compaction that broke off has left: an old folder put aside goes if the new one is in place, else it goes back."""
+        fs, path = self._fs()
+        for status in fs.globStatus(path(f"{self.root}/_aside/{signal}/*")) or []:
+            aside = status.getPath()
+            folder = path(f"{self.path(signal)}/{aside.getName().replace('~', '/')}")
+            if fs.exists(folder):
+                fs.delete(aside, True)
+            else:
+                fs.rename(aside, folder)
+        fs.delete(path(f"{self.root}/_compacting/{signal}"), True)
+
     def compact(self, signal: str, target_files: int = 1) -> int:
-        """Rewrite days of more files than the target; new files are complete before old ones go. Returns days rewritten."""
+        """Rewrite folders of more files than the target; returns how many.
+
+        The new files are complete, in a folder outside the table, before the old folder is put aside and the new one takes its place by
+        a rename: no reader ever meets rows twice. One that comes between the two renames misses the folder; ``recover`` (which every
+        compaction begins with) mends what a crash there has left.
+        """
+        self.recover(signal)
         fs, path = self._fs()
         time, done = C.TIME_COLUMN[signal], 0
-        for _, folder in self.days(signal):
-            old = [s.getPath() for s in fs.listStatus(path(folder)) if s.getPath().getName().endswith(".parquet")]
+        base = path(self.path(signal))
+        base_text = fs.makeQualified(base).toString()
+        levels = "/year=*/month=*/day=*" + ("/hour=*" if signal in TWO_HOURLY else "")
+        for status in (fs.globStatus(path(self.path(signal) + levels)) if fs.exists(base) else None) or []:
+            folder = status.getPath()
+            old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".parquet")]
             if len(old) <= target_files:
                 continue
-            side = f"{folder}/_compacting"
-            rows = self.spark.read.parquet(*[p.toString() for p in old])
+            name = folder.toString()[len(base_text) + 1 :].replace("/", "~")
+            side, aside = path(f"{self.root}/_compacting/{signal}/{name}"), path(f"{self.root}/_aside/{signal}/{name}")
+            rows = self.spark.read.option("mergeSchema", "true").parquet(*[p.toString() for p in old])
             merged = rows.repartitionByRange(target_files, time).sortWithinPartitions(time)
-            merged.write.mode("overwrite").option("compression", "zstd").parquet(side)
-            if self.spark.read.parquet(side).count() != rows.count():
+            merged.write.mode("overwrite").option("compression", "zstd").parquet(side.toString())
+            if self.spark.read.parquet(side.toString()).count() != rows.count():
                 raise ExecutionError(f"compaction of {folder} lost rows")
-            for status in fs.listStatus(path(side)):
-                if status.getPath().getName().endswith(".parquet"):
-                    fs.rename(status.getPath(), path(f"{folder}/compact-{status.getPath().getName()}"))
-            for p in old:
-                fs.delete(p, False)
-            fs.delete(path(side), True)
+            fs.mkdirs(aside.getParent())
+            if not (fs.rename(folder, aside) and fs.rename(side, folder)):
+                raise ExecutionError(f"compaction of {folder} could not be put in place")
+            fs.delete(aside, True)
             done += 1
         return done
 

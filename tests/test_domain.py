@@ -147,3 +147,32 @@ def test_store_round_trip_compaction_and_retention(spark, tmp_path):
     points = spark.createDataFrame([(1, S, 1.0)], "series_id bigint, time_unix_nano bigint, value double")
     store.write_rollups(points=points)
     assert spark.read.parquet(store.path("rollup_metrics_1h")).first()["count"] == 1
+
+
+def test_compaction_that_broke_off_is_mended(spark, tmp_path):
+    import shutil
+
+    store = Store(spark, str(tmp_path / "store"))
+    df = spark.createDataFrame([(f"l{i}", i, "svc") for i in range(20)], "log_id string, time_unix_nano bigint, service_name string")
+    store.write("logs", df)
+    day = tmp_path / "store/logs/year=1970/month=1/day=1"
+    aside = tmp_path / "store/_aside/logs/year=1970~month=1~day=1"
+    aside.parent.mkdir(parents=True)
+    shutil.move(day, aside)  # the old folder is put aside, the new one is not there yet
+    store.recover("logs")
+    assert store.read("logs").count() == 20 and not aside.exists()
+    shutil.copytree(day, aside)  # the new folder is in place, the old one not gone yet
+    store.recover("logs")
+    assert store.read("logs").count() == 20 and not aside.exists()
+
+
+def test_points_by_the_stored_index(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.points_of("m", 0, DAY).count() == 0
+    store.write("datapoints", spark.createDataFrame([(1, "a", 5, 1.0), (2, "a", 6, 2.0), (1, "a", 3 * DAY, 3.0)], "series_id bigint, metric_id string, time_unix_nano bigint, value double"))
+    index = spark.createDataFrame([(1, "m", {"z": "1"}), (2, "m", {"z": "2"})], "series_id bigint, metric_name string, labels map<string,string>")
+    store.register_series(index)
+    store.register_series(index)
+    assert store.series_index().count() == 2
+    assert sorted(r["value"] for r in store.points_of("m", 0, DAY).collect()) == [1.0, 2.0]
+    assert [r["value"] for r in store.points_of("m", 0, 4 * DAY, {"z": "1"}).orderBy("value").collect()] == [1.0, 3.0]
