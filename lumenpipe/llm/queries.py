@@ -144,3 +144,6 @@ SQL: dict[str, str] = {
       SELECT service_name, name, per_mille, v AS value, n FROM o, (VALUES (500), (900), (950), (990)) p(per_mille)
       WHERE k = greatest(1, (n * per_mille + 999) // 1000)""",
 }
+
+_CELLS = """CAST(sign(v) * (floor(log2(abs(CAST(v AS DOUBLE)) + 1.0) * 32.0) + 1) AS BIGINT) AS bucket, count(*) AS n, min(v) AS low, max(v) AS high"""
+SQL["p3_daily_partials"] = f"WITH {_SERVED} SELECT day, service_name, name, {_CELLS} FROM v GROUP BY ALL"
