@@ -33,6 +33,19 @@ def flamegraph(samples: DataFrame, stacks: DataFrame, retention_after: int | Non
     return out.where("total_value > 0")
 
 
+def node_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changes between two flamegraphs: (op, path, frame_id, depth, parent_path, total_value, self_value).
+
+    ``op`` is created, updated or removed; removed nodes have their last values. Nodes that stay as they are are not there.
+    """
+    old = before.select(F.col("path").alias("__path"), F.struct("frame_id", "depth", "parent_path", "total_value", "self_value").alias("__old"))
+    new = after.select("path", F.struct("frame_id", "depth", "parent_path", "total_value", "self_value").alias("new"))
+    both = new.join(old, F.col("path") == F.col("__path"), "full_outer")
+    op = F.when(F.col("__path").isNull(), "created").when(F.col("path").isNull(), "removed").when(~F.col("new").eqNullSafe(F.col("__old")), "updated")
+    changed = both.select(op.alias("op"), F.coalesce("path", "__path").alias("path"), F.coalesce("new", "__old").alias("node")).where("op IS NOT NULL")
+    return changed.select("op", "path", "node.*")
+
+
 def icicle(nodes: DataFrame) -> DataFrame:
     """Share of the overall root total per node, siblings in order of value."""
     from pyspark.sql import Window

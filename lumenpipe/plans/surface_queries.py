@@ -166,6 +166,23 @@ _op("d14_icicle", lambda s, d: flamegraph.icicle(flamegraph.flamegraph((e := eng
       total_value / (SELECT sum(total_value) FROM g WHERE depth = 0) AS share FROM g""")
 
 
+
+
+def flamegraph_deltas(s: SparkSession, d: str) -> DataFrame:
+    """A flamegraph of all samples up to 1996 against that of all since 1995: late samples come, early ones expire."""
+    e = engine(s, d)
+    samples, stacks = e.table("samples"), e.table("stacks")
+    before = flamegraph.flamegraph(samples.where(F.col("time_unix_nano") < _AFTER), stacks)
+    after = flamegraph.flamegraph(samples, stacks, _AFTER - 365 * DAY)
+    return flamegraph.node_deltas(before, after).select("op", "path", "depth", "total_value")
+
+
+_op("l12_flamegraph_deltas", flamegraph_deltas,
+    "WITH a AS (WITH " + _STACKS.format("l_shipdate < DATE '1996-01-01'") + " SELECT path, depth, total_value FROM g WHERE total_value > 0), "
+    "b AS (WITH " + _STACKS.format("l_shipdate >= DATE '1995-01-01'") + " SELECT path, depth, total_value FROM g WHERE total_value > 0) "
+    "SELECT CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'removed' ELSE 'updated' END AS op, path, coalesce(b.depth, a.depth) AS depth, "
+    "coalesce(b.total_value, a.total_value) AS total_value FROM a FULL JOIN b USING (path) WHERE a.total_value IS DISTINCT FROM b.total_value")
+
 # health rules, bins, record tree, shapes
 def edited_rules(s: SparkSession, d: str) -> DataFrame:
     store = _store(s)

@@ -26,13 +26,18 @@ ROW_WISE = (A.Where, A.Select, A.Compute, A.Within)
 
 @dataclass(frozen=True)
 class Delta:
-    """kind: snapshot, append, expire, replace or heartbeat; alias is None for the primary table."""
+    """kind: snapshot, ready, append, expire, replace, heartbeat, warning or error; alias is None for the primary table.
+
+    ``ready`` follows the snapshot. ``warning`` and ``error`` have a message: a batch in an order or of a kind that the result cannot follow exactly,
+    and one that failed (the stream fails too, and runs the batch again when it is started anew).
+    """
 
     kind: str
     alias: str | None
     rows: DataFrame | None
     batch: int
     watermark_ns: int | None = None
+    message: str | None = None
 
 
 def strategy(query: A.Query) -> str:
@@ -92,6 +97,7 @@ class LiveQuery:
         self.on_delta(Delta("snapshot", None, result.primary, -1))
         for alias, df in result.aux.items():
             self.on_delta(Delta("snapshot", alias, df, -1))
+        self.on_delta(Delta("ready", None, None, -1, now))
 
     def _rows(self, df: DataFrame, now: int) -> DataFrame:
         """The row-wise stages over some rows of the signal, without an upper time bound."""
@@ -107,7 +113,16 @@ class LiveQuery:
 
     def process(self, batch: DataFrame, number: int) -> None:
         """The deltas of one micro-batch (for ``foreachBatch``)."""
+        try:
+            self._process(batch, number)
+        except Exception as e:
+            self.on_delta(Delta("error", None, None, number, message=f"{type(e).__name__}: {str(e)[:500]}"))
+            raise
+
+    def _process(self, batch: DataFrame, number: int) -> None:
         now, time = self.clock(), self._time()
+        if self.lower is not None and (self._lower(now) or 0) < self.lower:
+            self.on_delta(Delta("warning", None, None, number, now, "the clock went back: rows that have expired do not come again"))
         lower = self._lower(now)
         if self.strategy == "append":
             fresh = batch if lower is None else batch.where(F.col(time) >= lower)
@@ -144,12 +159,18 @@ class Reducer:
         self.rows: dict[object, dict] = {}
         self.aux: dict[str, list[dict]] = {}
         self.watermark_ns: int | None = None
+        self.ready, self.messages = False, []
 
     def apply(self, delta: Delta) -> None:
         """Take in one delta; its rows are fetched, as a client shows them."""
         if delta.kind == "heartbeat":
             self.watermark_ns = delta.watermark_ns
             return
+        if delta.kind in ("ready", "warning", "error"):
+            self.ready = self.ready or delta.kind == "ready"
+            if delta.message is not None:
+                self.messages.append((delta.kind, delta.message))
+            return
         new = [r.asDict() for r in delta.rows.toLocalIterator()]
         if delta.alias is not None:
             self.aux[delta.alias] = new

@@ -141,3 +141,18 @@ def test_periods_close_at_the_cut_off(spark, tmp_path):
         "n_on_time": 2, "n_late": 2, "n_dropped": 1, "median_on_time": 5, "median_value": 7, "n_distinct": 3}
     assert set(got) == {0, 1980}
     assert spark.read.parquet(str(tmp_path / "p/open/v3")).count() == 1 and len(list((tmp_path / "p/open").glob("v*"))) == 2
+
+
+def test_ready_warning_and_error(spark, tmp_path):
+    engine, query, reducer, kinds, step = live(spark, tmp_path, "logs last 20s | where severity_number >= 9", "log_id")
+    step(110 * S, [])
+    assert reducer.ready and not reducer.messages
+    query.clock = lambda: 105 * S
+    query.process(spark.createDataFrame([], LOG), 3)
+    assert [k for k, _ in reducer.messages] == ["warning"]
+    try:
+        query.process(spark.createDataFrame([], "x int"), 4)
+        raise RuntimeError("it must fail")
+    except Exception as e:
+        assert "it must fail" not in str(e)
+    assert [k for k, _ in reducer.messages] == ["warning", "error"]
