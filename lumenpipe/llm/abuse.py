@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +99,18 @@ def normal_form(text: str) -> str:
     return "\n".join(s for s in (x.strip() for x in " ".join(out).split("\n")) if s)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, in order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Model:
     """Weights of words and of pairs of neighbours, and ordered thresholds."""
 
     def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float], thresholds: Sequence[float]) -> None:
         self.words, self.pairs, self.thresholds = words, pairs, [float(t) for t in thresholds]
-        names = sorted({*words, *(w for p in pairs for w in p)})
+        names = sorted({*words, *(w for p in pairs for w in p), "\n", ";"})
         self.ids = {w: i + 1 for i, w in enumerate(names)}  # 0: any other word
         self.width = len(names) + 1
         self.single = np.array([0.0] + [words.get(w, 0.0) for w in names])
@@ -125,13 +132,12 @@ class Model:
         if not sentences:
             return np.zeros(0), counts
         tokens = " \n ".join(sentences).split(" ")
-        get = self.ids.get
-        ids = np.fromiter((get(t, 0) for t in tokens), np.int64, len(tokens))
-        ends = np.fromiter((t == "\n" for t in tokens), bool, len(tokens))
+        ids = np.fromiter(map(self.ids.get, tokens, repeat(0)), np.int64, len(tokens))
+        ends = ids == self.ids["\n"]
         sentence = np.cumsum(ends)
-        clause = np.cumsum(ends | np.fromiter((t == ";" for t in tokens), bool, len(tokens)))
+        clause = np.cumsum(ends | (ids == self.ids[";"]))
         some = np.flatnonzero(self.single[ids] != 0.0)
-        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0)) if len(self.pair_keys) else np.zeros(0, np.int64)  # the end of a sentence is no word
+        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0)) if len(self.pair_keys) else np.zeros(0, np.int64)
         keys = ids[both] * self.width + ids[both + 1] if len(both) else both
         at = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
         hit = self.pair_keys[at] == keys if len(both) else np.zeros(0, bool)
@@ -139,11 +145,11 @@ class Model:
 
         def totals(owner: np.ndarray) -> np.ndarray:
             n = int(owner[-1]) + 1
-            found = np.unique(owner[some] * self.width + ids[some])
+            found = _distinct(owner[some] * self.width + ids[some])
             out = np.bincount(found // self.width, self.single[found % self.width], minlength=n)
             if len(both):
                 one = np.flatnonzero(owner[both] == owner[both + 1])
-                found = np.unique(owner[both[one]] * len(self.pair_keys) + at[one])
+                found = _distinct(owner[both[one]] * len(self.pair_keys) + at[one])
                 out = out + np.bincount(found // len(self.pair_keys), self.pair_values[found % len(self.pair_keys)], minlength=n)
             return out
 
@@ -214,77 +220,101 @@ def fit_ordinal(
     return theta[:width], theta[width:]
 
 
-def train(
-    forms: Sequence[str], votes: Sequence[int], bad: Sequence[int], common: dict[str, float] | None = None, lift: dict[str, float] | None = None
-) -> Model:
-    """Fit on labelled texts in normal form; the lists give each text's number of votes and of votes for any bad category.
-
-    ``common`` has the share of all documents for the words that are frequent in the corpus: what is said everywhere is not what raters
-    object to, so positive weights of such features are held closer to zero. ``lift`` has the log-lift of words by their company.
-    """
-    common, lift = common or {}, lift or {}
-    ids: dict[str | tuple[str, str], int] = {}
-    seen: Counter[int] = Counter()
-    bags: list[list[np.ndarray]] = []
-    for form in forms:
-        bag = {}
-        for s in (form or "").split("\n"):
-            t = s.split(" ") if s else []
-            clauses = [c.split() for c in s.split(";")] if ";" in t else []
-            for part in (t, *filter(None, clauses)):
-                row = np.array(sorted(ids.setdefault(f, len(ids)) for f in {*part, *zip(part, part[1:])}), dtype=np.int32)
-                bag[row.tobytes()] = row
-        bags.append(list(bag.values()))
-        seen.update(np.unique(np.concatenate(bags[-1])).tolist())
-    must = {ids.setdefault(w, len(ids)) for w in lift}
-    kept = np.full(len(ids), -1, dtype=np.int32)
-    for i, f in enumerate(f for f in range(len(ids)) if seen[f] >= 2 or f in must):
-        kept[f] = i
-    width = int((kept >= 0).sum())
-    if not width:
-        return Model({}, {}, [1.0, 2.0, 3.0])
-    bags = [[kept[row][kept[row] >= 0] for row in bag] for bag in bags]
-    names: list = [None] * width
-    for f, j in ids.items():
-        if kept[j] >= 0:
-            names[kept[j]] = f
-    grades = np.array([grade(v, b) for v, b in zip(votes, bad)], dtype=np.int64)
-    confidence = np.sqrt(np.array(votes, dtype=float))
-    share = np.array([common.get(f, 0.0) if isinstance(f, str) else min(common.get(f[0], 0.0), common.get(f[1], 0.0)) for f in names])
-    prior = np.array([TRUST * lift.get(f, 0.0) if isinstance(f, str) else 0.0 for f in names])
-    with_bad, with_clean = np.zeros(width), np.zeros(width)
-    clean: dict[bytes, list] = {}  # every sentence of a clean document is clean; equal ones count together
-    for bag, y, c in zip(bags, grades, confidence):
-        held = np.unique(np.concatenate(bag))
-        if y >= 2:
-            with_bad[held] += c
-        elif y == 0:
-            with_clean[held] += c
-            for row in bag:
-                clean.setdefault(row.tobytes(), [row, 0.0])[1] += c
-    # the first choice of worst sentences: by how much more bad documents have the feature than clean ones and the corpus
-    n_bad, n_clean = max(confidence[grades >= 2].sum(), 1.0), max(confidence[grades == 0].sum(), 1.0)
-    usually = 0.5 * (with_clean + 0.5) / n_clean + 0.5 * np.maximum(share, 0.5 / n_clean)
-    odds = np.log((with_bad + 0.5) / n_bad / usually)
-    guess = np.where(with_bad > 0, odds, np.minimum(odds, 0)) * np.array([1.3 if isinstance(f, str) else 0.3 for f in names]) + 2 * prior
-    state = (guess, np.array([3.0, 0.0, 0.0]))
-    for turn in range(TURNS):
-        rows, ws = [r for r, _ in clean.values()], [c for _, c in clean.values()]
-        ys = [0] * len(rows)
-        strength = (lambda s: np.sort(state[0][s])[-4:].sum()) if turn == 0 else (lambda s: state[0][s].sum())
-        scored = [np.array([strength(s) for s in bag]) for bag in bags]
-        usual = np.median([s.max() for s, y in zip(scored, grades) if not y] or [-np.inf])
-        for bag, scores, y, c in zip(bags, scored, grades, confidence):
-            if y:  # a rater may have erred where nothing in the text stands out from clean documents
-                rows.append(bag[int(np.argmax(scores))])
-                ys.append(y)
-                ws.append(c * (DOUBT if turn and scores.max() <= usual + 1 else 1.0))
-        start = state if turn else (prior.copy(), state[1])
-        state = fit_ordinal(rows, np.array(ys), np.array(ws), width, COMMON * share, MORE if turn else STEPS, start, prior)
-    w, raw = state
-    cuts = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
-    strong = [(names[i], float(w[i])) for i in np.flatnonzero(np.abs(w) > 1e-3).tolist()]
-    return Model({f: v for f, v in strong if isinstance(f, str)}, {f: v for f, v in strong if not isinstance(f, str)}, cuts)
+class Sample:
+    """Labelled texts in normal form, with each text's number of votes and of votes for any bad category; their features are taken once."""
+
+    def __init__(self, forms: Sequence[str], votes: Sequence[int], bad: Sequence[int]) -> None:
+        self.ids: dict[str | tuple[str, str], int] = {}
+        setdefault, ids = self.ids.setdefault, self.ids
+        rows: list[np.ndarray] = []
+        document: list[int] = []
+        for k, form in enumerate(forms):
+            bag = {}
+            for s in (form or "").split("\n"):
+                t = s.split(" ") if s else []
+                clauses = [c.split() for c in s.split(";")] if ";" in t else []
+                for part in (t, *filter(None, clauses)):
+                    row = _distinct(np.array([setdefault(f, len(ids)) for f in (*part, *zip(part, part[1:]))], dtype=np.int32))
+                    bag[row.tobytes()] = row
+            rows.extend(bag.values())
+            document.extend([k] * len(bag))
+        self.row_document = np.array(document, dtype=np.int64)
+        self.length = np.array([len(r) for r in rows], dtype=np.int64)
+        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        owner = self.row_document[np.repeat(np.arange(len(rows)), self.length)]
+        self.in_document = _distinct(owner * max(len(ids), 1) + self.flat)  # (document, feature), once each
+        self.grades = np.array([grade(v, b) for v, b in zip(votes, bad)], dtype=np.int64)
+        self.confidence = np.sqrt(np.array(votes, dtype=float))
+
+    def train(self, common: dict[str, float] | None = None, lift: dict[str, float] | None = None) -> Model:
+        """Fit the model.
+
+        ``common`` has the share of all documents for the words that are frequent in the corpus: what is said everywhere is not what raters
+        object to, so positive weights of such features are held closer to zero. ``lift`` has the log-lift of words by their company.
+        """
+        common, lift, n_ids = common or {}, lift or {}, len(self.ids)
+        names: list = [None] * n_ids
+        for f, j in self.ids.items():
+            names[j] = f
+        new = [w for w in lift if w not in self.ids]
+        document, feature = self.in_document // max(n_ids, 1), self.in_document % max(n_ids, 1)
+        wanted = np.concatenate([np.bincount(feature, minlength=n_ids) >= 2, np.ones(len(new), bool)])
+        wanted[[self.ids[w] for w in lift if w in self.ids]] = True
+        names = [f for f, w in zip(names + new, wanted) if w]
+        kept = np.where(wanted, np.cumsum(wanted) - 1, -1)
+        width = len(names)
+        if not width or not len(self.grades):
+            return Model({}, {}, [1.0, 2.0, 3.0])
+        word = np.array([isinstance(f, str) for f in names])
+        share = np.array([common.get(f, 0.0) if isinstance(f, str) else min(common.get(f[0], 0.0), common.get(f[1], 0.0)) for f in names])
+        prior = np.array([TRUST * lift.get(f, 0.0) if isinstance(f, str) else 0.0 for f in names])
+        grades, confidence = self.grades, self.confidence
+
+        # rows with the features that are kept; every sentence and clause of a clean document is clean, and equal ones count together
+        flat = kept[self.flat]
+        owner = np.repeat(np.arange(len(self.length)), self.length)[flat >= 0]
+        flat = flat[flat >= 0]
+        length = np.bincount(owner, minlength=len(self.length))
+        rows = np.split(flat, np.cumsum(length)[:-1])
+        clean: dict[bytes, list] = {}
+        for i in np.flatnonzero(grades[self.row_document] == 0).tolist():
+            clean.setdefault(rows[i].tobytes(), [rows[i], 0.0])[1] += confidence[self.row_document[i]]
+
+        # the first choice of worst sentences: by how much more bad documents have the feature than clean ones and the corpus
+        held, docs = kept[feature], document
+        of = lambda some: np.bincount(held[(held >= 0) & some[docs]], confidence[docs[(held >= 0) & some[docs]]], minlength=width)
+        with_bad, with_clean = of(grades >= 2), of(grades == 0)
+        n_bad, n_clean = max(confidence[grades >= 2].sum(), 1.0), max(confidence[grades == 0].sum(), 1.0)
+        usually = 0.5 * (with_clean + 0.5) / n_clean + 0.5 * np.maximum(share, 0.5 / n_clean)
+        odds = np.log((with_bad + 0.5) / n_bad / usually)
+        guess = np.where(with_bad > 0, odds, np.minimum(odds, 0)) * np.where(word, 1.3, 0.3) + 2 * prior
+        state = (guess, np.array([3.0, 0.0, 0.0]))
+        first = np.flatnonzero(np.concatenate([[True], self.row_document[1:] != self.row_document[:-1]]))
+        of_document = self.row_document[first]
+        for turn in range(TURNS):
+            value, who = state[0][flat], owner
+            if turn == 0:  # the four strongest features of a row
+                order = np.lexsort((-value, owner))
+                value, who = value[order], owner[order]
+                place = np.arange(len(who)) - (np.cumsum(length) - length)[who]
+                value, who = value[place < 4], who[place < 4]
+            strength = np.bincount(who, value, minlength=len(length))
+            worst = np.maximum.reduceat(strength, first)
+            usual = np.median(worst[grades[of_document] == 0]) if (grades == 0).any() else -np.inf
+            chosen = np.lexsort((-strength, self.row_document))[first]  # the strongest row of every document
+            xs, ws = [r for r, _ in clean.values()], [c for _, c in clean.values()]
+            ys = [0] * len(xs)
+            for k, i, top in zip(of_document.tolist(), chosen.tolist(), worst.tolist()):
+                if grades[k]:  # a rater may have erred where nothing in the text stands out from clean documents
+                    xs.append(rows[i])
+                    ys.append(int(grades[k]))
+                    ws.append(confidence[k] * (DOUBT if turn and top <= usual + 1 else 1.0))
+            start = state if turn else (prior.copy(), state[1])
+            state = fit_ordinal(xs, np.array(ys), np.array(ws), width, COMMON * share, MORE if turn else STEPS, start, prior)
+        w, raw = state
+        cuts = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
+        strong = [(names[i], float(w[i])) for i in np.flatnonzero(np.abs(w) > 1e-3).tolist()]
+        return Model({f: v for f, v in strong if isinstance(f, str)}, {f: v for f, v in strong if not isinstance(f, str)}, cuts)
 
 
 def votes_by_document(labels: DataFrame) -> DataFrame:
@@ -387,10 +417,10 @@ def fit(forms: DataFrame, labels: DataFrame) -> Model:
     n = forms.count()
     words = materialize(word_documents(forms))
     common = {r["word"]: r["n_documents"] / n for r in words.where(F.col("n_documents") >= max(3, COMMON_SHARE * n)).collect()}
-    sample = [r["form"] for r in rows], [r["n_votes"] for r in rows], [r["n_bad"] for r in rows]
-    model = train(*sample, common)
+    sample = Sample([r["form"] for r in rows], [r["n_votes"] for r in rows], [r["n_bad"] for r in rows])
+    model = sample.train(common)
     for _ in range(PASSES):
-        model = train(*sample, common, lifts(materialize(company(forms, model)), words, n))
+        model = sample.train(common, lifts(materialize(company(forms, model)), words, n))
     return model
 
 
