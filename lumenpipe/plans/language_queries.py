@@ -392,12 +392,13 @@ def _health(s: SparkSession, d: str, a: int = ALL_A, b: int = ALL_B) -> DataFram
 
 
 def _health_sql(a: int, b: int) -> str:
-    return f"""WITH {_SERVED}, w AS (SELECT * FROM v WHERE start_time_unix_nano BETWEEN {a} AND {b}),
+    span = (lambda t: "true") if b - a == ALL_B - ALL_A else (lambda t: f"{t} BETWEEN {a} AND {b}")  # the whole range has no filter
+    return f"""WITH {_SERVED}, w AS (SELECT * FROM v WHERE {span("start_time_unix_nano")}),
     a AS (SELECT service, count(*) AS n, count(*) FILTER (WHERE status = 2) AS e, count(*) FILTER (WHERE http_response_status_code BETWEEN 200 AND 599) AS h,
       count(*) FILTER (WHERE http_response_status_code BETWEEN 200 AND 299) AS c2, count(*) FILTER (WHERE http_response_status_code BETWEEN 300 AND 399) AS c3,
       count(*) FILTER (WHERE http_response_status_code BETWEEN 400 AND 499) AS c4, count(*) FILTER (WHERE http_response_status_code BETWEEN 500 AND 599) AS c5,
       list_sort(list(duration_ns)) AS l FROM w GROUP BY 1),
-    b AS (SELECT service_name AS service, count(*) AS bad FROM logs WHERE time_unix_nano BETWEEN {a} AND {b} AND severity_number >= 17 GROUP BY 1),
+    b AS (SELECT service_name AS service, count(*) AS bad FROM logs WHERE {span("time_unix_nano")} AND severity_number >= 17 GROUP BY 1),
     j AS (SELECT service, n, e, h, c2, c3, c4, c5, l, coalesce(bad, 0) AS bad FROM a FULL JOIN b USING (service))
     SELECT service, coalesce(e / n, 0.0) AS span_error_rate, CASE WHEN h > 0 THEN (c4 + c5) / h ELSE 0.0 END AS http_error_rate,
       {", ".join(f"CASE WHEN h > 0 THEN c{k} / h ELSE 0.0 END AS http_{k}xx_rate" for k in (2, 3, 4, 5))},
